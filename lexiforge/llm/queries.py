@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, piece_table, repair_files, token_counts
+from . import best_fit, hilbert, lattice_lm, line_quality, piece_table, repair_files, token_counts, toxicity
 from .common import shared_dir, table
 
 
@@ -31,9 +31,25 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table.encode_digests(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lattice_scores(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.hilbert_shards(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_files, op4_sentencepiece, op9_packing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_files, op4_sentencepiece, op5_line_quality, op7_lattice_lm, op8_hilbert_shards, op9_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {}
