@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, hilbert, lattice_lm, line_quality, piece_table, repair_files, token_counts, toxicity
+from . import best_fit, hilbert, lattice_lm, line_quality, ngram_join, piece_table, repair_files, token_counts, toxicity
 from .common import shared_dir, table
 
 
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cache is a new one each time, so that the query's figures are those of a cold cache."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
@@ -51,5 +55,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_files, op4_sentencepiece, op5_line_quality, op7_lattice_lm, op8_hilbert_shards, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_token_files, op4_sentencepiece, op5_line_quality, op7_lattice_lm, op8_hilbert_shards, op9_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {}

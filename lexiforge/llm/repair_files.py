@@ -22,64 +22,77 @@ from pyspark.sql import functions as F
 from .common import written
 from .token_codec import codec
 
-BLOCK_IDS, SLOTS, ROUNDS, MIN_COUNT, PAIRS_A_ROUND = 3_000_000, 1 << 18, 6, 24, 4096
+BLOCK_IDS, SLOTS, ROUNDS, MIN_COUNT, PAIRS_A_ROUND = 3_000_000, 1 << 18, 4, 24, 4096
 BLOCK_SCHEMA = "shard int, block int, first long, n_ids long, doc_ids array<long>, doc_ends binary, doc_tokens binary, terminals int, rounds array<int>, rules binary, lengths binary, stream binary"
 
 
-def _pair_keys(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each adjacent pair: its key, and the slot of a hash of it."""
+NO_PAIR = np.uint32(0xFFFFFFFF)
+
+
+def _slots(key: np.ndarray) -> np.ndarray:
+    return (key * np.uint32(2654435769)) >> np.uint32(32 - SLOTS.bit_length() + 1)
+
+
+NO_PAIR_SLOT = int(_slots(np.array([NO_PAIR]))[0])
+
+
+def _pair_keys(seq: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each adjacent pair: its key, and the slot of a hash of it. Pairs across documents have no key."""
     key = (seq[:-1].astype(np.uint32) << 16) | seq[1:]
-    return key, (key * np.uint32(2654435769)) >> np.uint32(32 - SLOTS.bit_length() + 1)
+    key[ends[:-1] if len(ends) and ends[-1] == len(seq) - 1 else ends] = NO_PAIR
+    return key, _slots(key)
 
 
 def compress(ids: np.ndarray, doc_tokens: np.ndarray, terminals: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> dict:
     """The grammar of ids, documents of doc_tokens ids each. Symbols below terminals are ids."""
     seq = ids.astype(np.uint16)
-    last = np.zeros(len(seq), bool)
-    ends = np.cumsum(doc_tokens)
-    last[ends[doc_tokens > 0] - 1] = True
+    ends = np.cumsum(doc_tokens)[doc_tokens > 0] - 1  # where the last symbol of each document stands
     rules, bases = [np.zeros((0, 2), np.uint16)], [terminals]
     for _ in range(rounds):
         room = min(PAIRS_A_ROUND, 65536 - bases[-1])
         if len(seq) < 2 or room < 1:
             break
-        key, slot = _pair_keys(seq)
-        free = ~last[:-1]
+        key, slot = _pair_keys(seq, ends)
         holder = np.zeros(SLOTS, np.uint32)
-        holder[slot[free]] = key[free]  # one pair speaks for each slot, most likely a frequent one
-        at = np.flatnonzero(free & (holder[slot] == key))
-        count = np.bincount(slot[at], minlength=SLOTS)
+        holder[slot] = key  # one pair speaks for each slot, most likely a frequent one
+        holder[NO_PAIR_SLOT] = 0
+        at = np.flatnonzero(holder[slot] == key)
+        found = slot[at]
+        count = np.bincount(found, minlength=SLOTS)
         chosen = np.argsort(count, kind="stable")[::-1][:room]
         chosen = chosen[count[chosen] >= min_count]
         if not len(chosen):
             break
-        picked = np.zeros(SLOTS, bool)
-        picked[chosen] = True
-        at = at[picked[slot[at]]]
+        symbol = np.zeros(SLOTS, np.int32)
+        symbol[chosen] = 1
+        at = at[symbol[found] > 0]
         run_start = np.flatnonzero(np.diff(at, prepend=-2) != 1)  # of adjacent matches every second one is taken
-        inside = np.arange(len(at)) - np.repeat(run_start, np.diff(run_start, append=len(at)))
-        at = at[inside % 2 == 0]
-        used = np.bincount(slot[at], minlength=SLOTS)
+        run = np.diff(run_start, append=len(at))
+        odd = (np.arange(len(at)) - np.repeat(run_start, run)) & 1
+        at = at[odd == 0]
+        found = slot[at]
+        used = np.bincount(found, minlength=SLOTS)
         chosen = chosen[used[chosen] >= 2]
         if not len(chosen):
             break
-        symbol = np.zeros(SLOTS, np.int64)
+        symbol[:] = 0
         symbol[chosen] = bases[-1] + np.arange(len(chosen))
-        at = at[symbol[slot[at]] > 0]
+        new = symbol[found]
+        at, new = at[new > 0], new[new > 0]
         rules.append(np.stack([holder[chosen] >> 16, holder[chosen] & 0xFFFF], 1).astype(np.uint16))
         bases.append(bases[-1] + len(chosen))
-        seq[at] = symbol[slot[at]].astype(np.uint16)
-        last[at] = last[at + 1]
+        seq[at] = new.astype(np.uint16)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        seq = seq[keep]
+        ends -= np.searchsorted(at + 1, ends, "right")
     rules = np.concatenate(rules)
     lengths = np.ones(bases[-1], np.int64)
     for lo, hi in zip(bases, bases[1:]):
         own = rules[lo - terminals : hi - terminals]
         lengths[lo:hi] = lengths[own[:, 0]] + lengths[own[:, 1]]
     doc_ends = np.zeros(len(doc_tokens), np.int64)
-    doc_ends[doc_tokens > 0] = np.flatnonzero(last) + 1
+    doc_ends[doc_tokens > 0] = ends + 1
     doc_ends = np.maximum.accumulate(doc_ends) if len(doc_ends) else doc_ends
     return {"doc_ends": doc_ends.astype("<u4"), "doc_tokens": doc_tokens.astype("<u4"), "terminals": terminals, "rounds": bases, "rules": rules.astype("<u2"), "lengths": lengths[terminals:].astype("<u4"), "stream": seq.astype("<u2")}
 

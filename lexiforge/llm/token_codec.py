@@ -26,9 +26,9 @@ MAX_ENTRIES = 600_000
 
 def _byte_letters() -> list[str]:
     """The visible character by which byte-level vocabularies write each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return [chr(b) for b in range(256)] if not other else [chr(b) if b in set(plain) else chr(256 + other.index(b)) for b in range(256)]
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
 class _Table(dict):
@@ -60,11 +60,14 @@ class TokenCodec:
         rule = WORD_RULE if self.words else BYTE_RULE
         self.rule = re.compile(rule).findall
         self.runs = re.compile(f"[{WIDE_BLANKS}]*[^{WIDE_BLANKS}]+|[{WIDE_BLANKS}]+").findall
-        letters, model = _byte_letters(), library.model
-        spell = {b: c for b, c in enumerate(letters)}
+        spell, model = _byte_letters(), library.model
 
         def merged(chunk: str) -> list[int]:
-            return [t.id for t in model.tokenize("".join([spell[b] for b in chunk.encode()]))]
+            if chunk.isascii() and chunk.isprintable():
+                spelled = chunk.replace(" ", spell[32])
+            else:
+                spelled = "".join([spell[b] for b in chunk.encode()])
+            return [t.id for t in model.tokenize(spelled)]
 
         self.fine = _Table(merged, max_entries).__getitem__
         self.coarse = _Table(lambda chunk: library.encode(chunk, add_special_tokens=False).ids, max_entries // 4).__getitem__
