@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit, hilbert, lattice_lm, line_quality, ngram_join, piece_table, repair_files, token_counts, toxicity
+from . import best_fit, hilbert, lattice_lm, line_quality, ngram_join, piece_table, repair_files, token_counts, toxicity, vamana
 from .common import shared_dir, table
 
 
@@ -39,6 +39,10 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.lattice_scores(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -55,5 +59,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_token_files, op4_sentencepiece, op5_line_quality, op7_lattice_lm, op8_hilbert_shards, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_token_files, op4_sentencepiece, op5_line_quality, op6_vamana, op7_lattice_lm, op8_hilbert_shards, op9_packing, op10_toxicity)}
 ORACLES: dict[str, str] = {}

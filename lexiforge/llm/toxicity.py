@@ -193,3 +193,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, t
 
     rows = docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double, predicted int, passages array<struct<start:int,end:int,score:double>>")
     return rows.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted", "passages")
+
+
+def keep_harmless(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, all columns as they are."""
+    scorer, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_labels)), docs.columns.index("text")
+
+    def keep(batches):
+        own = scorer.value
+        for b in batches:
+            p = own.probability(np.array([own.summary(*own.passages(t)) for t in b.column(at).to_pylist()]).reshape(-1, 2))
+            yield b.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
