@@ -10,9 +10,10 @@ meet under every order.
    they can neither be shared nor lead to a candidate.) A shingle that many texts of a block share is sent once a block.
 2. Texts whose prefix holds shared shingles are listed under these. Of each list the first text is compared with all;
    linked texts join components. Where a long list keeps several components, further pivots outside its main one are
-   compared, round by round. At last the texts outside the main component are compared with all of the list, but for
-   pairs of one component and those that the triangle inequality of the Jaccard distance keeps apart. So no link
-   between components is lost, and groups of near copies never become all their pairs.
+   compared for some rounds. At last the texts outside the main component are compared with all of the list: short
+   lists pair by pair, but for pairs of one component and those that the triangle inequality of the Jaccard distance
+   keeps apart; long lists in blocks against blocks, of which only links that join two components come back. So
+   no link between components is lost, and groups of near copies never become rows of all their pairs.
 
 Defined results: texts without words (null, empty, blank) have n_shingles 0 and are linked with nothing; rows of equal or null
 doc_id are taken each for itself, and a component's id is the smallest doc_id in it (null only if all are); an empty
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, split_words, written
 
 WORDS, SIMILARITY = 5, 75
-BLOCK_TOKENS, BLOCK_TEXTS, HOT, SHORT_LIST, PIVOT_ROUNDS = 1_500_000, 4000, 64, 32, 6
+BLOCK_TOKENS, BLOCK_TEXTS, HOT, SHORT_LIST, PIVOT_ROUNDS, SIDE = 1_500_000, 4000, 64, 32, 2, 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Odd multipliers that order shingles of equal frequency, one for each order.
 ORDERS = (np.uint64(1), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -97,7 +98,7 @@ def _deal(texts: DataFrame, buckets: int, words: int) -> DataFrame:
                 is_hot = np.isin(token, hot)
                 hot_owner = owner[is_hot][np.argsort(token[is_hot], kind="stable")]
                 token, owner = token[~is_hot], owner[~is_hot]
-            of = lambda t: ((t >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            of = lambda t: t >> np.uint64(65 - buckets.bit_length())  # noqa: E731  the leading bits
             bucket = of(token).astype(np.uint32)
             order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
             token, owner = token[order], owner[order]
@@ -106,7 +107,7 @@ def _deal(texts: DataFrame, buckets: int, words: int) -> DataFrame:
             for b in range(buckets):
                 s, e, hs, he = ends[b], ends[b + 1], hot_ends[b], hot_ends[b + 1]
                 if e > s or he > hs:
-                    rows.append({"bucket": b, "block": block, "tokens": token[s:e].tobytes(), "counts": np.bincount(owner[s:e], minlength=len(n)).astype(np.uint16).tobytes() if e - s < 65536 else np.bincount(owner[s:e], minlength=len(n)).astype(np.uint32).tobytes(), "hot": hot[hs:he].tobytes(), "hot_counts": hot_n[hs:he].tobytes(), "sizes": None, "digests": None})
+                    rows.append({"bucket": b, "block": block, "tokens": _short(token[s:e]), "counts": np.bincount(owner[s:e], minlength=len(n)).astype(np.uint16).tobytes() if e - s < 65536 else np.bincount(owner[s:e], minlength=len(n)).astype(np.uint32).tobytes(), "hot": hot[hs:he].tobytes(), "hot_counts": hot_n[hs:he].tobytes(), "sizes": None, "digests": None})
             return pa.RecordBatch.from_pylist(rows, pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in BLOCKS.split(", ")]))
 
         for b in batches:
@@ -123,13 +124,25 @@ def _deal(texts: DataFrame, buckets: int, words: int) -> DataFrame:
     return texts.mapInArrow(run, BLOCKS)
 
 
-def _frequencies(table: pa.Table) -> pa.Table:
+def _short(tokens: np.ndarray) -> bytes:
+    """The lower seven bytes of each: the bucket, a power of two and 256 at least, has the rest."""
+    return tokens.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _long(packed: bytes, bucket: int, buckets: int) -> np.ndarray:
+    out = np.zeros((len(packed) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(packed, np.uint8).reshape(-1, 7)
+    out[:, 7] = bucket >> (buckets.bit_length() - 9)
+    return out.reshape(-1).view(np.uint64)
+
+
+def _frequencies(table: pa.Table, buckets: int) -> pa.Table:
     """Of a bucket: the shingles of two texts or more, with their number of texts, back to each block. Blocks' own rows pass."""
     rows, out = table.to_pylist(), []
     if rows[0]["bucket"] < 0:
         out = [{"block": r["block"], "digests": r["digests"], "sizes": r["sizes"], "hot": r["hot"], "hot_counts": r["hot_counts"], "hot_owners": r["tokens"]} for r in rows]
     else:
-        cold, hot = [np.frombuffer(r["tokens"], np.uint64) for r in rows], [np.frombuffer(r["hot"], np.uint64) for r in rows]
+        cold, hot = [_long(r["tokens"], r["bucket"], buckets) for r in rows], [np.frombuffer(r["hot"], np.uint64) for r in rows]
         weight = np.concatenate([np.ones(sum(map(len, cold)), np.int64), *[np.frombuffer(r["hot_counts"], np.uint32).astype(np.int64) for r in rows]])
         every = np.concatenate([*cold, *hot])
         order = np.argsort(every, kind="stable")
@@ -215,12 +228,79 @@ def _ordered_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def _counted(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens of the rows in ascending order, the row of each, and the sizes of the rows' sets."""
+    token = rows["tokens"].combine_chunks()
+    owner = np.repeat(np.arange(len(token)), np.diff(token.offsets.to_numpy()))
+    flat = token.flatten().to_numpy()
+    order = np.argsort(flat, kind="stable")
+    return flat[order], owner[order], rows["n"].to_numpy()
+
+
+def common_tokens(x: tuple, y: tuple, width: int = 4096) -> np.ndarray:
+    """The intersection size of every set of x with every one of y, as products of slices of their token matrices."""
+    both = np.intersect1d(x[0], y[0])
+    out = np.zeros((len(x[2]), len(y[2])), np.float32)
+    for at in range(0, len(both), width):
+        own = both[at : at + width]
+        sides = []
+        for token, owner, n in (x, y):
+            lo, hi = np.searchsorted(token, own[0]), np.searchsorted(token, own[-1], "right")
+            column = np.searchsorted(own, token[lo:hi])
+            hit = own[column] == token[lo:hi]
+            m = np.zeros((len(n), len(own)), np.float32)
+            m[owner[lo:hi][hit], column[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _block_links(rest: DataFrame, now: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) between components, of texts of rest with others of their lists, by blocks of either; written.
+
+    Lists with one pivot overlap nearly wholly, so they are taken together. No more than a spanning forest of the components comes from each pair of blocks."""
+    x, y = rest.select("pivot", "cid", "label").distinct(), now.select("pivot", "cid", "label").distinct()
+    blocks = lambda df, name: df.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias(name))
+    number = blocks(x, "nx").join(blocks(y, "ny"), "pivot")
+    tokens = sets.select("cid", "n", "tokens")
+    place = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = x.join(number, "pivot").join(tokens, "cid").withColumn("i", place("nx", 1)).withColumn("j", every("ny")).select("pivot", "i", "j", "cid", "label", "n", "tokens")
+    y = y.join(number, "pivot").join(tokens, "cid").withColumn("j", place("ny", 2)).withColumn("i", every("nx")).select("pivot", "i", "j", "cid", "label", "n", "tokens")
+    y = y.toDF("y_pivot", "y_i", "y_j", "cid", "label", "n", "tokens")
+
+    def compare(xs: pa.Table, ys: pa.Table) -> pa.Table:
+        a, b = [], []
+        if xs.num_rows and ys.num_rows:
+            one, two = _counted(xs), _counted(ys)
+            common = common_tokens(one, two).astype(np.int64)
+            union = one[2][:, None] + two[2][None] - common
+            lx, ly = xs["label"].to_pylist(), ys["label"].to_pylist()
+            cx, cy = xs["cid"].to_pylist(), ys["cid"].to_pylist()
+            parent: dict[int, int] = {}
+
+            def root(k: int) -> int:
+                while parent.get(k, k) != k:
+                    k = parent[k]
+                return k
+
+            for i, j in zip(*(k.tolist() for k in np.nonzero((100 * common >= similarity * union) & (np.array(lx)[:, None] != np.array(ly)[None])))):
+                u, v = root(lx[i]), root(ly[j])
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    a.append(cx[i])
+                    b.append(cy[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return written(x.groupBy("pivot", "i", "j").cogroup(y.groupBy("y_pivot", "y_i", "y_j")).applyInArrow(compare, "a long, b long"), "block-links")
+
+
 def text_sets(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """SETS of the distinct texts of docs, written."""
     spark = docs.sparkSession
-    buckets = max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(256, 1 << (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     texts = docs.filter(F.col("text").isNotNull()).select(F.unhex(F.sha2("text", 256)).alias("digest"), "text").groupBy("digest").agg(F.first("text").alias("text"))
-    replies = written(_deal(texts, buckets, words).groupBy("bucket").applyInArrow(_frequencies, REPLIES), "shingles")
+    replies = written(_deal(texts, buckets, words).groupBy("bucket").applyInArrow(lambda t: _frequencies(t, buckets), REPLIES), "shingles")
     return written(replies.groupBy("block").applyInArrow(_assemble(similarity), SETS), "sets")
 
 
@@ -251,14 +331,16 @@ def components(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
             labels, known = relabel(labels, new.filter("linked")), known.unionAll(new)
             continue
         # All that is left: texts outside the main component against the whole list.
+        joined = _block_links(long, now.join(mains.filter(F.col("listed") > SHORT_LIST).select("token"), "token", "left_semi"), alive, similarity)
+        rest, short = rest.filter(F.col("listed") <= SHORT_LIST), mains.filter(F.col("listed") <= SHORT_LIST)
         to_pivot = first.select("a", "b", "distance")
         far = lambda df: df.withColumns({"a": F.least("cid", "pivot"), "b": F.greatest("cid", "pivot")}).join(to_pivot, ["a", "b"], "left").withColumn("distance", F.when(F.col("cid") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("distance"))).drop("a", "b", "pivot")
         x = far(rest.select("token", "cid", "pivot", "label", "main")).select("token", F.col("cid").alias("x"), F.col("label").alias("x_label"), F.col("distance").alias("x_far"), "main")
-        y = far(now.join(mains.select("token"), "token", "left_semi")).select("token", F.col("cid").alias("y"), F.col("label").alias("y_label"), F.col("distance").alias("y_far"))
+        y = far(now.join(short.select("token"), "token", "left_semi")).select("token", F.col("cid").alias("y"), F.col("label").alias("y_label"), F.col("distance").alias("y_far"))
         apart = F.coalesce(F.abs(F.col("x_far") - F.col("y_far")) > (100 - similarity) / 100 + 1e-9, F.lit(False))
         pairs = x.join(y, "token").filter((F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("main")) | (F.col("x") < F.col("y"))) & ~apart)
         pairs = _ordered_pairs(pairs, "x", "y").join(known.select("a", "b"), ["a", "b"], "left_anti")
-        labels = relabel(labels, _verified(pairs, alive, similarity).filter("linked"))
+        labels = relabel(labels, _verified(pairs, alive, similarity).filter("linked").select("a", "b").unionAll(joined))
         break
     return labels
 
