@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_FAMILIES: list = []
+from lexiforge.plans import retrieval_queries
+
+_FAMILIES = [retrieval_queries]
 
 
 def queries() -> dict:
