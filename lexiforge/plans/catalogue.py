@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexiforge.plans import retrieval_queries
+from lexiforge.plans import retrieval_queries, text_queries
 
-_FAMILIES = [retrieval_queries]
+_FAMILIES = [retrieval_queries, text_queries]
 
 
 def queries() -> dict:
