@@ -46,7 +46,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     rows = docs.select("doc_id", normalised(F.col("text"), lower).alias("content"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     rows = rows.withColumn("content_digest", F.unhex(F.sha2("content", 256)))
     known = cached_counts(spark, cache_path).filter(F.col("tokenizer_digest") == version)
-    misses = rows.select("content_digest", "content").join(known, "content_digest", "left_anti").groupBy("content_digest").agg(F.first("content").alias("content"))
+    # Copies become one before they are shuffled, so a text that many rows share is no hot key.
+    texts = rows.groupBy("content_digest").agg(F.first("content").alias("content"))
+    misses = texts.join(known.select("content_digest"), "content_digest", "left_anti")
 
     def count(batches):
         packed = codec(tokenizer_path).packed
