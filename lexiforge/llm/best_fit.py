@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import written
 from .token_codec import codec
 
+#: Entries of the token table: in the pipeline a worker holds the tables of other stages too.
+TABLE = 250_000
 CAPACITY, BLOCK_PIECES, DONORS, PASSES = 4096, 8192, 24, 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ordinal long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, ordinal long, bin long, offset long, fill long"
@@ -99,7 +101,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
     """Pieces of the encoded documents: only documents over the capacity are cut."""
 
     def cut(batches):
-        packed, end = codec(tokenizer_path).packed, np.array([end_id], "<u4").tobytes()
+        packed, end = codec(tokenizer_path, TABLE).packed, np.array([end_id], "<u4").tobytes()
         ordinal = TaskContext.get().partitionId() << 40
         step = 4 * capacity
         for b in batches:

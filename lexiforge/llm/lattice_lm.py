@@ -58,10 +58,11 @@ class Lattice:
         special = {0, 1, self.end, *self.bytes}
         self.log_p = log_p.tolist()
         self.ids = {p: i for i, p in enumerate(pieces) if i not in special}
-        self.reach: dict[str, tuple[int, ...]] = {}  # lengths of the pieces that begin with two characters, else with one
         reach: dict[str, set[int]] = {}
         for p in self.ids:
-            reach.setdefault(p[:2], set()).add(len(p))
+            if len(p) > 1:
+                reach.setdefault(p[:2], set()).add(len(p))
+        #: lengths of the longer pieces that begin with two characters
         self.reach = {k: tuple(sorted(v)) for k, v in reach.items()}
 
     def arcs(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:

@@ -85,9 +85,9 @@ class TokenCodec:
 
 
 @cache
-def codec(path: str) -> TokenCodec:
+def codec(path: str, max_entries: int = MAX_ENTRIES) -> TokenCodec:
     """One codec for each tokenizer file and Python worker."""
-    return TokenCodec(path)
+    return TokenCodec(path, max_entries)
 
 
 @cache

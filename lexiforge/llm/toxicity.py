@@ -35,7 +35,7 @@ TOKEN = re.compile(r"[^\W\d_]+").findall
 
 class _Buckets(dict):
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         k = self[token] = zlib.crc32(token.encode()) & (BUCKETS - 1)
         return k
