@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import fold, lower_ascii, split_words, written
 from .piece_table import MARK
 
-BLOCK_WORDS, BLOCK_TOKENS, EM_ROUNDS, SMOOTHING, ZIPF_SHIFT = 400_000, 4_000_000, 1, 0.1, 2.7
+BLOCK_WORDS, BLOCK_TOKENS, GROUP_CHARS, EM_ROUNDS, SMOOTHING, ZIPF_SHIFT = 400_000, 4_000_000, 300_000, 1, 0.1, 2.7
 TOKENS = "block long, doc_id long, held_out boolean, places binary, word string, place int, n_train long"
 
 
@@ -52,82 +53,95 @@ def ranked(model_path: str) -> np.ndarray:
     return np.log(weight / weight.sum())
 
 
+def _sweep(value: np.ndarray, came: np.ndarray, goes: np.ndarray, log_p: np.ndarray, rank: np.ndarray) -> None:
+    """Sets value at each node that arcs go to: the log of the sum over these arcs, nodes of lower rank first and those of one rank at once."""
+    order = np.lexsort((goes, rank))
+    came, goes, log_p, rank = came[order], goes[order], log_p[order], rank[order]
+    node = np.flatnonzero(np.r_[True, goes[1:] != goes[:-1]])
+    ends = np.r_[node[1:], len(goes)]
+    steps = np.flatnonzero(np.r_[True, np.diff(rank[node]) != 0]).tolist()
+    for lo, hi in zip(steps, [*steps[1:], len(node)]):
+        a, b = node[lo], ends[hi - 1]
+        terms, own = value[came[a:b]] + log_p[a:b], node[lo:hi] - a
+        top = np.maximum.reduceat(terms, own)
+        value[goes[node[lo:hi]]] = top + np.log(np.add.reduceat(np.exp(terms - np.repeat(top, ends[lo:hi] - node[lo:hi])), own))
+
+
 class Lattice:
+    """Lattices of many words at once: nodes are the places in the words' joined text, arcs the pieces found there."""
+
     def __init__(self, model_path: str, log_p: np.ndarray):
-        pieces, self.bytes, self.end = vocabulary(model_path)
-        special = {0, 1, self.end, *self.bytes}
-        self.log_p = log_p.tolist()
-        self.ids = {p: i for i, p in enumerate(pieces) if i not in special}
-        reach: dict[str, set[int]] = {}
-        for p in self.ids:
-            if len(p) > 1:
-                reach.setdefault(p[:2], set()).add(len(p))
-        #: lengths of the longer pieces that begin with two characters
-        self.reach = {k: tuple(sorted(v)) for k, v in reach.items()}
-
-    def arcs(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """At each position of the marked word, the arcs that end there: where they begin, their log probability, their pieces."""
-        text, ids, log_p, reach = MARK + word, self.ids, self.log_p, self.reach
-        ends: list[list] = [[] for _ in range(len(text) + 1)]
-        for i, c in enumerate(text):
-            k = ids.get(c)
-            if k is not None:
-                ends[i + 1].append((i, log_p[k], (k,)))
-            else:
-                own = tuple(self.bytes[b] for b in c.encode())
-                ends[i + 1].append((i, sum(log_p[b] for b in own), own))
-            for n in reach.get(text[i : i + 2], ()):
-                k = ids.get(text[i : i + n]) if i + n <= len(text) else None
-                if k is not None:
-                    ends[i + n].append((i, log_p[k], (k,)))
-        return ends
+        import ahocorasick
+
+        pieces, self.bytes, end = vocabulary(model_path)
+        special = {0, 1, end, *self.bytes}
+        self.log_p = np.asarray(log_p)
+        self.pieces = ahocorasick.Automaton()
+        for k, p in enumerate(pieces):
+            if k not in special:
+                self.pieces.add_word(p, k << 16 | len(p))
+        self.pieces.make_automaton()
+
+    def _groups(self, words: list[str]):
+        """Indices of words of like length, so many that their texts together are of bounded size (or one longer word)."""
+        group, size = [], 0
+        for k in sorted(range(len(words)), key=lambda k: len(words[k])):
+            if group and size + len(words[k]) > GROUP_CHARS:
+                yield group
+                group, size = [], 0
+            group.append(k)
+            size += len(words[k]) + 2
+        if group:
+            yield group
+
+    def _arcs(self, words: list[str]):
+        """start, end, log_p and piece of the arcs; the characters spelled in bytes (the last arcs, piece -1); each node's word and depth; each word's first node."""
+        text = "\n".join([MARK + w for w in words])
+        found = np.fromiter(chain.from_iterable(self.pieces.iter(text)), np.int64).reshape(-1, 2)
+        end, size, piece = found[:, 0] + 1, found[:, 1] & 0xFFFF, found[:, 1] >> 16
+        nodes = np.array([len(w) + 2 for w in words])
+        first = np.cumsum(nodes) - nodes
+        word = np.repeat(np.arange(len(words)), nodes)
+        depth = np.arange(len(word)) - first[word]
+        single = np.zeros(len(word), bool)
+        single[first + nodes - 1] = True  # a word's last node has no character
+        single[(end - size)[size == 1]] = True
+        bare = np.flatnonzero(~single)
+        spelled = [[self.bytes[b] for b in text[i].encode()] for i in bare.tolist()]
+        start, end, piece = np.r_[end - size, bare], np.r_[end, bare + 1], np.r_[piece, np.full(len(bare), -1)]
+        log_p = np.r_[self.log_p[piece[: len(size)]], [self.log_p[s].sum() for s in spelled]]
+        return start, end, log_p, piece, spelled, word, depth, first
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Natural log, for each word, of the sum over all its segmentations."""
+        out = np.zeros(len(words))
+        for group in self._groups(words):
+            start, end, log_p, _, _, word, depth, first = self._arcs([words[k] for k in group])
+            forward = np.zeros(len(word))
+            _sweep(forward, start, end, log_p, depth[end])
+            out[group] = forward[np.r_[first[1:], len(word)] - 1]
+        return out
 
     def log_probability(self, word: str) -> float:
-        """Natural log of the sum over all segmentations of the word."""
-        text, ids, log_p, reach, exp = MARK + word, self.ids, self.log_p, self.reach, math.exp
-        n_text = len(text)
-        into: list[list[float]] = [[] for _ in range(n_text + 1)]
-        into[0].append(0.0)
-        for i, c in enumerate(text):
-            terms = into[i]
-            if len(terms) == 1:
-                here = terms[0]
-            else:
-                top = max(terms)
-                here = top + math.log(sum([exp(t - top) for t in terms]))
-            k = ids.get(c)
-            into[i + 1].append(here + (log_p[k] if k is not None else sum([log_p[self.bytes[b]] for b in c.encode()])))
-            for n in reach.get(text[i : i + 2], ()):
-                if i + n > n_text:
-                    break
-                k = ids.get(text[i : i + n])
-                if k is not None:
-                    into[i + n].append(here + log_p[k])
-        terms = into[n_text]
-        top = max(terms)
-        return top + math.log(sum([exp(t - top) for t in terms]))
+        return float(self.log_probabilities([word])[0])
+
+    def add_all_expected(self, words: list[str], weights: np.ndarray, counts: np.ndarray) -> None:
+        """Adds the expected number of each piece over the words' segmentations, times each word's weight."""
+        for group in self._groups(words):
+            start, end, log_p, piece, spelled, word, depth, first = self._arcs([words[k] for k in group])
+            forward, backward = np.zeros(len(word)), np.zeros(len(word))
+            _sweep(forward, start, end, log_p, depth[end])
+            _sweep(backward, end, start, log_p, -depth[start])
+            total = forward[np.r_[first[1:], len(word)] - 1]
+            share = weights[group][word[start]] * np.exp(forward[start] + log_p + backward[end] - total[word[start]])
+            n = len(share) - len(spelled)
+            counts += np.bincount(piece[:n], share[:n], minlength=len(counts))
+            for own, x in zip(spelled, share[n:]):
+                for b in own:
+                    counts[b] += x
 
     def add_expected(self, word: str, weight: float, counts: np.ndarray) -> None:
-        """Adds the expected number of each piece over the word's segmentations, times weight."""
-        ends = self.arcs(word)
-        n = len(ends) - 1
-        forward, backward = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-        for j in range(1, n + 1):
-            terms = [forward[i] + lp for i, lp, _ in ends[j]]
-            top = max(terms)
-            forward[j] = top + math.log(sum([math.exp(t - top) for t in terms]))
-        for j in range(n, 0, -1):
-            b = backward[j]
-            for i, lp, _ in ends[j]:
-                t, old = b + lp, backward[i]
-                backward[i] = t if old == -math.inf else (t + math.log1p(math.exp(old - t)) if t > old else old + math.log1p(math.exp(t - old)))
-        total = forward[n]
-        for j in range(1, n + 1):
-            b = backward[j] - total
-            for i, lp, own in ends[j]:
-                share = weight * math.exp(forward[i] + lp + b)
-                for k in own:
-                    counts[k] += share
+        self.add_all_expected([word], np.array([weight]), counts)
 
 
 def count_words(docs: DataFrame, fold_modulus: int = 7, held_fold: int = 2) -> DataFrame:
@@ -180,8 +194,7 @@ def expected_counts(words: DataFrame, model_path: str, log_p: np.ndarray) -> np.
     def run(batches):
         lattice, counts = Lattice(model_path, given.value), np.zeros(len(given.value))
         for b in batches:
-            for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                lattice.add_expected(word, n, counts)
+            lattice.add_all_expected(b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64), counts)
         at = np.flatnonzero(counts)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["piece", "n"])
@@ -213,7 +226,7 @@ def lattice_scores(docs: DataFrame, model_path: str, em_rounds: int = EM_ROUNDS)
     def score(batches):
         lattice = Lattice(model_path, given.value)
         for b in batches:
-            own = [lattice.log_probability(w) / math.log(10) for w in b.column(0).to_pylist()]
+            own = lattice.log_probabilities(b.column(0).to_pylist()) / math.log(10)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.float64())], ["word", "n_all", "log10_p"])
 
     scored = words.select("word", F.col("n_train").alias("n_all")).mapInArrow(score, "word string, n_all long, log10_p double")
