@@ -76,10 +76,10 @@ class Lattice:
         pieces, self.bytes, end = vocabulary(model_path)
         special = {0, 1, end, *self.bytes}
         self.log_p = np.asarray(log_p)
+        self.ids = {p: k for k, p in enumerate(pieces) if k not in special}
         self.pieces = ahocorasick.Automaton()
-        for k, p in enumerate(pieces):
-            if k not in special:
-                self.pieces.add_word(p, k << 16 | len(p))
+        for p, k in self.ids.items():
+            self.pieces.add_word(p, k << 16 | len(p))
         self.pieces.make_automaton()
 
     def _groups(self, words: list[str]):
