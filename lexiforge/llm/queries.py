@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage with production parameters, and DuckDB SQL where that can express them."""
+"""The registered queries of this subpackage with production parameters; oracles.py has the SQL of some."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import best_fit, hilbert, lattice_lm, line_quality, ngram_join, piece_table, repair_files, token_counts, toxicity, vamana
 from .common import shared_dir, table
+from .oracles import ORACLES as ORACLES
 
 
 @cache
@@ -60,4 +61,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_token_counts, op3_token_files, op4_sentencepiece, op5_line_quality, op6_vamana, op7_lattice_lm, op8_hilbert_shards, op9_packing, op10_toxicity)}
-ORACLES: dict[str, str] = {}

@@ -3,15 +3,17 @@
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from lexiforge.llm import best_fit, hilbert, lattice_lm, line_quality, ngram_join, piece_table, repair_files, token_counts, toxicity, vamana
+from lexiforge.llm import best_fit, hilbert, lattice_lm, line_quality, ngram_join, piece_table, queries, repair_files, token_counts, toxicity, vamana
 from lexiforge.llm.token_codec import TokenCodec
 
+SF = "/root/testdata/sf0.001"
 WORDS = P.path("word_bpe_49k.json")
 BYTES = P.path("byte_bpe_50k.json")
 PIECES = P.path("piece_bpe_32k.model")
@@ -212,3 +214,14 @@ def test_segments_by_brute_force():
         best = max(s[i:j].sum() for i in range(30) for j in range(i + 1, 31))
         assert abs(max((x for _, _, x in found), default=best) - best) < 1e-9
         assert all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+
+
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_queries_with_sql(spark, name):
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want, got = duck.sql(queries.ORACLES[name]), queries.QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    rows = [tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall()]
+    assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(rows) and rows
