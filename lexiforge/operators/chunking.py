@@ -47,7 +47,7 @@ def canonical_section(titles: DataFrame, aliases: DataFrame) -> DataFrame:
     t = titles.withColumn("k", key(F.col("title")))
     near = F.contains(F.col("k"), F.col("alias")) | F.contains(F.col("alias"), F.col("k"))
     rank = F.when(F.col("k") == F.col("alias"), -1).otherwise(F.col("ord"))
-    return t.join(F.broadcast(aliases.limit(10_000)), near, "left").groupBy(*titles.columns).agg(F.min_by("canon", rank).alias("canon"))
+    return t.join(F.broadcast(aliases), near, "left").groupBy(*titles.columns).agg(F.min_by("canon", rank).alias("canon"))
 
 
 def windows(text: Column, size: int = 1600, overlap: int = 250) -> Column:

@@ -2,6 +2,11 @@
 
 import re
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lexiforge.operators import chunking, retrieval
 from lexiforge.plans import text_queries
 
 
@@ -19,3 +24,32 @@ def test_overlap_chunks_every_sentence(spark, tmp_path):
         want |= {(k, i, (parts[i - 1][-10:] if i else "") + p) for i, p in enumerate(parts)}
     rows = [tuple(r) for r in text_queries.chunk_overlap(spark, d).collect()]
     assert len(rows) == len(want) == 57 + 3 + 1 and set(rows) == want
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_knn_answers_every_query(spark, metric):
+    x = np.random.default_rng(3).integers(-9, 10, (2500, 4)).astype(np.float64)
+    x[~x.any(1), 0] = 1
+    v = spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    found = retrieval.knn(v, v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 3, metric)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in found.collect()}
+    assert len(got) == 3 * len(x)
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().toString()
+    if metric == "l2":
+        far = ((x[:, None] - x[None]) ** 2).sum(2)
+    else:
+        n = np.sqrt((x * x).sum(1))
+        far = -(x @ x.T) / (n[:, None] * n[None])
+    best = np.sort(far, 1)[:, :3]
+    for (query, rank), (vec, score) in got.items():
+        assert abs(abs(score) - abs(best[query, rank - 1])) < 1e-9 and abs(far[query, vec] - best[query, rank - 1]) < 1e-9
+    if metric == "l2":
+        # whole numbers: ties are exact, so the ids are fixed
+        ids = np.argsort(far, 1, kind="stable")[:, :3]
+        assert all(ids[q, r - 1] == v for (q, r), (v, _) in got.items())
+
+
+def test_sections_by_every_alias(spark):
+    aliases = spark.range(10_001).select(F.col("id").cast("int").alias("ord"), F.format_string("w%05dx", "id").alias("alias"), F.col("id").cast("string").alias("canon"))
+    titles = spark.createDataFrame([(f"w{i:05d}x",) for i in (0, 9_999, 10_000)], "title string")
+    assert {tuple(r) for r in chunking.canonical_section(titles, aliases).collect()} == {("w00000x", "0"), ("w09999x", "9999"), ("w10000x", "10000")}
