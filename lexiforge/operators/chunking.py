@@ -108,8 +108,8 @@ def pair_batches(pairs: Column, most: int = 40, chars: int = 12_000) -> Column:
     return F.aggregate(pairs, state, step)["ids"]
 
 
-def chunked(df: DataFrame, chunks: Column, cap: int | None = 300) -> DataFrame:
-    """A row for each chunk with its number; at most cap of a document, all with None."""
+def chunked(df: DataFrame, chunks: Column, cap: int | None = None) -> DataFrame:
+    """A row for each chunk with its number; all of a document, or with cap (C14) its first ones."""
     return df.select("doc_id", F.posexplode(chunks if cap is None else F.slice(chunks, 1, cap)).alias("chunk_idx", "chunk"))
 
 

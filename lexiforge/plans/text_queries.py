@@ -69,7 +69,7 @@ def window_chunks(s, d):
 
 
 def chunk_overlap(s, d):
-    rows = C.chunked(t(s, d, "documents"), A.sentences(F.col("text")), None)
+    rows = C.chunked(t(s, d, "documents"), A.sentences(F.col("text")))
     return C.with_overlap(rows, 10).select("doc_id", "chunk_idx", "chunk")
 
 

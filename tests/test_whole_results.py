@@ -1,5 +1,6 @@
 """Queries do the whole job: small fixtures against brute force, beyond the sizes where results once were cut."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -53,3 +54,25 @@ def test_sections_by_every_alias(spark):
     aliases = spark.range(10_001).select(F.col("id").cast("int").alias("ord"), F.format_string("w%05dx", "id").alias("alias"), F.col("id").cast("string").alias("canon"))
     titles = spark.createDataFrame([(f"w{i:05d}x",) for i in (0, 9_999, 10_000)], "title string")
     assert {tuple(r) for r in chunking.canonical_section(titles, aliases).collect()} == {("w00000x", "0"), ("w09999x", "9999"), ("w10000x", "10000")}
+
+
+def windows(text, size=1600, overlap=250):
+    """C3 by its description: a window ends after its last full stop if that is near its end."""
+    text, i, out = text.strip(), 0, []
+    while i < len(text):
+        j = min(len(text), i + size)
+        dot = text.rfind(".", i, j)
+        k = j if j == len(text) or dot < 0 or j - dot > 200 else dot + 1
+        out.append(text[i:k].strip())
+        if k >= len(text):
+            break
+        i = max(i + 1, k - overlap)
+    return [w for w in out if len(w) >= 20]
+
+
+def test_windows_of_a_long_text(spark, tmp_path):
+    text = " ".join(f"Sentence number {i} is here." for i in range(20_000))
+    d = stored(spark, tmp_path, "documents", [(1, text), (2, "A short text, of one window.")], "doc_id long, text string")
+    want = {(1, i, hashlib.md5(w.encode()).hexdigest()) for i, w in enumerate(windows(text))} | {(2, 0, hashlib.md5(b"A short text, of one window.").hexdigest())}
+    assert len(want) > 301
+    assert {tuple(r) for r in text_queries.window_chunks(spark, d).collect()} == want
