@@ -168,9 +168,12 @@ def json_extract(s, d):
 
 
 def index_counts(s, d):
-    """M1: sanitised, sectioned, windowed, capped: chunks added by document."""
+    """M1: sanitised, sectioned (C4; by sentences where no header stands), each section windowed, capped: chunks added by document."""
     x = t(s, d, "documents").select("doc_id", T.sanitized(T.nfkc(F.col("text"))).alias("text"))
-    return x.select("doc_id", F.least(F.size(C.windows(F.col("text"))), F.lit(300)).alias("added"))
+    parts = C.section_texts(x).select("doc_id", "section", F.size(C.windows(F.col("text"))).alias("n"))
+    headed = parts.groupBy("doc_id").agg(F.sum("n").cast("int").alias("n"), F.max("section").alias("sections")).filter("sections > 0")
+    plain = x.select("doc_id", F.size(A.sentences(F.col("text"))).alias("sentences"))
+    return plain.join(headed, "doc_id", "left").select("doc_id", F.least(F.coalesce("n", "sentences"), F.lit(300)).alias("added"))
 
 
 def message_split(s, d):

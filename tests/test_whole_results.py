@@ -76,3 +76,13 @@ def test_windows_of_a_long_text(spark, tmp_path):
     want = {(1, i, hashlib.md5(w.encode()).hexdigest()) for i, w in enumerate(windows(text))} | {(2, 0, hashlib.md5(b"A short text, of one window.").hexdigest())}
     assert len(want) > 301
     assert {tuple(r) for r in text_queries.window_chunks(spark, d).collect()} == want
+
+
+def test_index_counts_by_section(spark, tmp_path):
+    body = " ".join(f"Sentence number {i} is here." for i in range(150))
+    sections = ["What stands before the first header.", f"1. First Heading\n{body}", "2. Second Heading\nA short body of one window."]
+    texts = {1: "\n".join(sections), 2: "One sentence. Two sentences! Three?", 3: " ", 4: " ".join(f"Sentence number {i} is here." for i in range(400))}
+    d = stored(spark, tmp_path, "documents", list(texts.items()), "doc_id long, text string")
+    want = {1: sum(len(windows(x)) for x in sections), 2: 3, 3: 0, 4: 300}
+    assert want[1] != len(windows(texts[1]))
+    assert {r["doc_id"]: r["added"] for r in text_queries.index_counts(spark, d).collect()} == want
