@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -21,21 +23,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @cache
 def _own_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="lexiforge-")
+    made = tempfile.mkdtemp(prefix="lexiforge-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; a local one only where that is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir(spark.sparkContext.applicationId)
+    """This application's folder below the one that all executors share, as spark.checkpoint.dir names it.
 
+    Only where that is unset, and driver and executors are one process, it is a temporary one of this machine."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if given:
+        return f"{given.rstrip('/')}/lexiforge-{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_dir(spark.sparkContext.applicationId)
 
-def written(df: DataFrame, name: str) -> DataFrame:
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that written() made in this application; results that read them must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df, written once as a table in the shared folder and read back: later stages don't recompute it when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text for each partition of a shuffle whose number of partitions must grow with the input.
+PARTITION_BYTES = 32 << 20
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: what sizes of buckets and partitions are derived from."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+
+
+def partitions_for(spark: SparkSession, size: int, each: int = PARTITION_BYTES) -> int:
+    """Partitions for so many bytes, the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
+def power_for(size: int, each: int, least: int, most: int) -> int:
+    """The power of two from least to most that gives each part so many bytes."""
+    return min(most, max(least, 1 << max(0, (-(-size // each) - 1).bit_length())))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, longer where columns has it already."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

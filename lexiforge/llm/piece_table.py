@@ -2,62 +2,62 @@
 
 The library replaces blanks by a marker, puts one in front of the text, and merges pieces. Where no piece of the
 vocabulary has a marker after another character, no merge crosses from a word into the next marker: the text falls
-into marked words (a run of markers and what follows), each distinct one is segmented once by the library, and the
-ids are joined back by position. The table lives in the Python worker over all its batches and is bounded. Texts
-with characters that the model's normaliser changes, and vocabularies with crossing pieces, go to the library whole.
+into marked words (a run of markers and what follows).
+
+1. Blocks of texts list their distinct marked words once and keep each text as places in that list.
+2. The lists are dealt to buckets by the words' hash. A bucket holds all occurrences of its words, so each distinct word
+   of all texts is segmented, and its ids decoded, exactly once; ids and decoded words go back to the blocks.
+3. Each block joins ids and decoded words by position: a text's ids are those of its words one after another and the
+   end id, its decoded text is its decoded words with blanks between them.
+
+Buckets and partitions grow with the bytes of the input, so that neither a bucket's words nor a block outgrow a worker.
+Texts with a NUL character, and all texts if the vocabulary has crossing pieces or the normaliser changes more than
+blanks, go to the library whole.
 
 Defined results: null and empty texts have the end id alone and decode to the empty text; every row is taken for
-itself; extra columns are left out.
+itself, also with equal or null doc_id; an empty input gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-MARK = "▁"
-MAX_WORDS = 500_000
-
+from .common import partitions_for, power_for, text_bytes, written
 
-class _Words(dict):
-    """marked word without its first marker -> (ids, the ids as decimal text)."""
-
-    def __init__(self, encode, max_words: int):
-        self.encode, self.max_words = encode, max_words
-
-    def __missing__(self, word: str) -> tuple[tuple[int, ...], str]:
-        if len(self) >= self.max_words:
-            self.clear()
-        ids = tuple(self.encode(word))
-        out = self[word] = (ids, " ".join(map(str, ids)))
-        return out
+MARK = "▁"
+#: A block of texts lists at most so many distinct words and tokens (one text more may exceed it).
+BLOCK_WORDS, BLOCK_TOKENS = 300_000, 3_000_000
+#: Bytes of text for each bucket of words.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 64, 1 << 16
+BLOCKS = "block long, bucket int, n int, words binary, doc_id long, places binary, whole string"
+REPLIES = "of_block long, of_bucket int, counts binary, ids binary, decoded binary"
 
 
 class PieceCodec:
-    def __init__(self, path: str, max_words: int = MAX_WORDS):
+    def __init__(self, path: str):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [sp.id_to_piece(i) for i in range(sp.vocab_size())]
         # Blanks and all else are kept as they are, and the library puts a marker first.
-        kept = sp.normalize(" a  \uff21\xa0\xbd ") == MARK * 2 + "a" + MARK * 2 + "\uff21\xa0\xbd" + MARK
+        kept = sp.normalize(" a  Ａ\xa0\xbd ") == MARK * 2 + "a" + MARK * 2 + "Ａ\xa0\xbd" + MARK
         self.apart = kept and not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.words = _Words(sp.encode, max_words)
-        self.end = sp.eos_id()
+        self.mark, self.end = sp.piece_to_id(MARK), sp.eos_id()
 
-    def ids(self, text: str | None) -> tuple[list[int], str]:
-        """All ids of text with the end id, and the same as decimal text."""
-        if not text:
-            return [self.end], str(self.end)
+    def words(self, text: str) -> list[str] | None:
+        """The marked words of text, each without its first marker; None if it must be encoded whole."""
         if not self.apart or "\0" in text:
-            ids = [*self.library.encode(text), self.end]
-            return ids, " ".join(map(str, ids))
+            return None
         words, run = text.replace(MARK, " ").split(" "), 0
-        if "" in words:  # runs of blanks belong to the word after them
+        if "" in words:  # runs of blanks belong to the word after them, those at the end are a word of their own
             parts, words = words, []
             for p in parts:
                 if p:
@@ -65,14 +65,22 @@ class PieceCodec:
                     run = 0
                 else:
                     run += 1
-        found = list(map(self.words.__getitem__, words))
-        if run:
-            found.append(self._blanks(run))
-        return [*chain.from_iterable([f[0] for f in found]), self.end], " ".join([f[1] for f in found] + [str(self.end)])
+            if run:
+                words.append(" " * (run - 1))
+        return words
+
+    def ids(self, word: str) -> list[int]:
+        """Ids of a marked word, given without its first marker; of the marker alone for the empty one."""
+        return self.library.encode(word) if word else [self.mark]
 
-    def _blanks(self, n: int) -> tuple[tuple[int, ...], str]:
-        """n markers at the end of a text."""
-        return self.words[" " * (n - 1)] if n > 1 else ((self.library.piece_to_id(MARK),), str(self.library.piece_to_id(MARK)))
+    def encode(self, text: str | None) -> list[int]:
+        """All ids of text with the end id, word by word."""
+        if not text:
+            return [self.end]
+        words = self.words(text)
+        if words is None:
+            return [*self.library.encode(text), self.end]
+        return [k for w in words for k in self.ids(w)] + [self.end]
 
 
 @cache
@@ -80,30 +88,132 @@ def piece_codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
+def _blocks(docs: DataFrame, model_path: str, buckets: int) -> DataFrame:
+    """The blocks, written: a row for each text with the places of its words, and one for each bucket of the block's words."""
+
+    def run(batches):
+        own, block = piece_codec(model_path), TaskContext.get().partitionId() << 24
+        places: dict[str, int] = {}
+        texts: list[tuple] = []
+        tokens = 0
+
+        def flush():
+            words = list(places)
+            bucket = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) & np.uint64(buckets - 1)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(words), np.uint32)
+            rank[order] = np.arange(len(words), dtype=np.uint32)
+            first = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets)) != 0)
+            ends = [*first[1:].tolist(), len(words)]
+            lists = [(int(bucket[order[lo]]), hi - lo, "\0".join([words[k] for k in order[lo:hi].tolist()]).encode()) for lo, hi in zip(first.tolist(), ends)] if words else []
+            n, m = len(texts), len(lists)
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.full(n + m, block, np.int64)),
+                pa.array([None] * n + [x[0] for x in lists], pa.int32()),
+                pa.array([None] * n + [x[1] for x in lists], pa.int32()),
+                pa.array([None] * n + [x[2] for x in lists], pa.binary()),
+                pa.array([t[0] for t in texts] + [None] * m, pa.int64()),
+                pa.array([None if t[1] is None else rank[t[1]].tobytes() for t in texts] + [None] * m, pa.binary()),
+                pa.array([t[2] for t in texts] + [None] * m, pa.string()),
+            ], ["block", "bucket", "n", "words", "doc_id", "places", "whole"])
+
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = own.words(text) if text else []
+                if words is None:
+                    texts.append((doc_id, None, text))
+                    tokens += len(text)
+                else:
+                    texts.append((doc_id, np.fromiter([places.setdefault(w, len(places)) for w in words], np.uint32, len(words)), None))
+                    tokens += len(words) + 1
+                if len(places) >= BLOCK_WORDS or tokens >= BLOCK_TOKENS:
+                    yield flush()
+                    block, places, texts, tokens = block + 1, {}, [], 0
+        if texts:
+            yield flush()
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), "piece-blocks", compression="zstd")
+
+
+def _segmented(lists: DataFrame, model_path: str, partitions: int) -> DataFrame:
+    """REPLIES to the lists: of each word the number of its ids, the ids, and the decoded word. Each distinct word is segmented once."""
+
+    def run(batches):
+        own, now, known = piece_codec(model_path), None, {}
+        library = own.library
+        kind = "<u2" if library.vocab_size() <= 1 << 16 else "<u4"
+        for b in batches:
+            out = []
+            for block, bucket, blob in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if bucket != now:
+                    now, known = bucket, {}
+                words = blob.decode().split("\0")
+                new = [w for w in words if w not in known]
+                ids = [own.ids(w) for w in new]
+                for w, x, text in zip(new, ids, library.decode(ids, num_threads=1) if ids else []):
+                    known[w] = (len(x), np.array(x, kind).tobytes(), text)
+                found = [known[w] for w in words]
+                out.append((block, bucket, np.array([f[0] for f in found], "<u4").tobytes(), b"".join([f[1] for f in found]), "\0".join([f[2] for f in found]).encode()))
+            columns = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], [x.split()[0] for x in REPLIES.split(", ")])
+
+    dealt = lists.select("block", "bucket", "words").repartition(partitions, "bucket").sortWithinPartitions("bucket", "block")
+    return dealt.mapInArrow(run, REPLIES)
+
+
+def _joined(docs: DataFrame, model_path: str, each, schema: str, arrow: pa.Schema) -> DataFrame:
+    """each(doc_id, ids of the text's words as decimal texts or None, decoded words or None, the whole text or None, codec) for every row of docs."""
+    size = text_bytes(docs)
+    buckets = power_for(size, BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS)
+    partitions = partitions_for(docs.sparkSession, size)
+    blocks = _blocks(docs, model_path, buckets)
+    replies = _segmented(blocks.filter("bucket is not null"), model_path, partitions)
+    texts = blocks.filter("bucket is null").select("block", "doc_id", "places", "whole")
+
+    def join(texts_of: pa.Table, replies_of: pa.Table) -> pa.Table:
+        own = piece_codec(model_path)
+        kind = "<u2" if own.library.vocab_size() <= 1 << 16 else "<u4"
+        spelled: list[str] = []
+        decoded: list[str] = []
+        numbers = list(map(str, range(own.library.vocab_size())))
+        for row in replies_of.sort_by("of_bucket").to_pylist():
+            ids, ends = [numbers[k] for k in np.frombuffer(row["ids"], kind).tolist()], np.cumsum(np.frombuffer(row["counts"], "<u4")).tolist()
+            spelled += [" ".join(ids[s:e]) for s, e in zip([0, *ends], ends)]
+            decoded += row["decoded"].decode().split("\0")
+        out = []
+        for doc_id, places, whole in zip(*(texts_of[c].to_pylist() for c in ("doc_id", "places", "whole"))):
+            at = [] if places is None else np.frombuffer(places, "<u4").tolist()
+            out.append(each(doc_id, [spelled[k] for k in at], [decoded[k] for k in at], whole, own))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
+
+    left = texts.repartition(partitions, "block").groupBy("block")
+    right = replies.repartition(partitions, "of_block").groupBy("of_block")
+    return left.cogroup(right).applyInArrow(join, schema)
+
+
+def _spelled(words: list[str], decoded: list[str], whole: str | None, own: PieceCodec) -> tuple[str, str]:
+    """The ids as decimal text, the end id last, and the decoded text."""
+    if whole is not None:
+        ids = [*own.library.encode(whole), own.end]
+        return " ".join(map(str, ids)), own.library.decode(ids)
+    return " ".join([*words, str(own.end)]), " ".join(decoded)
+
+
 def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids (with the end id), and the text that the library decodes from them."""
 
-    def both(batches):
-        own = piece_codec(model_path)
-        for b in batches:
-            ids = [own.ids(t)[0] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(own.library.decode(ids, num_threads=1), pa.string())], ["doc_id", "ids", "decoded"])
+    def each(doc_id, words, decoded, whole, own):
+        ids, text = _spelled(words, decoded, whole, own)
+        return doc_id, list(map(int, ids.split(" "))), text
 
-    return docs.select("doc_id", "text").mapInArrow(both, "doc_id long, ids array<int>, decoded string")
+    return _joined(docs, model_path, each, "doc_id long, ids array<int>, decoded string", pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]))
 
 
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """encode_decode() with the ids and the decoded text as digests, so that neither leaves the worker."""
 
-    def digests(batches):
-        own = piece_codec(model_path)
-        for b in batches:
-            n, spelled, decoded = [], [], []
-            for t in b.column(1).to_pylist():
-                ids, text = own.ids(t)
-                n.append(len(ids))
-                spelled.append(hashlib.sha256(text.encode()).hexdigest())
-                decoded.append(hashlib.sha256(own.library.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spelled, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def each(doc_id, words, decoded, whole, own):
+        ids, text = _spelled(words, decoded, whole, own)
+        return doc_id, ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+    return _joined(docs, model_path, each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
