@@ -72,6 +72,23 @@ def power_for(size: int, each: int, least: int, most: int) -> int:
     return min(most, max(least, 1 << max(0, (-(-size // each) - 1).bit_length())))
 
 
+#: A key that holds more than this share of all rows is hot, so there are never more hot keys than its inverse.
+HOT_SHARE, SALTS = 1000, 32
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], copies: str, spread_by: Column, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key and, as copies, the number of left's rows with it; copies is dropped.
+
+    Rows of hot keys are dealt over SALTS tasks by spread_by. The hot keys are broadcast: there are HOT_SHARE at most,
+    whatever the input. right is read three times, so it should be written."""
+    total = right.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    salt, mark = unused([*left.columns, *right.columns], "salt"), unused([*left.columns, *right.columns], "hot")
+    hot = right.filter(F.col(copies) * HOT_SHARE > total).select(*keys, F.lit(True).alias(mark))
+    mine = left.join(F.broadcast(hot), keys, "left").withColumn(salt, F.when(F.col(mark), F.pmod(F.xxhash64(spread_by), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop(mark)
+    salts = F.when(F.col(copies) * HOT_SHARE > total, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return mine.join(right.withColumn(salt, F.explode(salts)).drop(copies), [*keys, salt], how).drop(salt)
+
+
 def unused(columns: list[str], name: str) -> str:
     """name, longer where columns has it already."""
     while name.lower() in {c.lower() for c in columns}:

@@ -1,23 +1,27 @@
 """N-gram Jaccard join by filters under several global token orders.
 
 Texts are sets of word shingles. Two sets as similar as the threshold share, under any order of all shingles, a shingle
-among the first n - ceil(threshold * n) + 1 of each. The orders used put rare shingles first, so prefixes consist of
-shingles that no other text has, and most texts have no candidate at all. A pair is verified only if its prefixes
-meet under every order.
+among the first n - ceil(threshold * n) + 1 of each. All orders used put first the shingles that no other text has;
+after these one order goes by frequency, rare ones first, and two by different hashes alone. Prefixes so consist mostly
+of shingles that can't be shared, and most texts have no candidate at all. A pair is verified only if its prefixes
+meet under every order, in whichever of the two ways below it is compared.
 
 1. Equal texts become one (by digest). Each block of texts deals its shingles to buckets by hash, where the number
    of texts of each is counted; only shingles of two texts or more come back. (The others count by the set's size, as
    they can neither be shared nor lead to a candidate.) A shingle that many texts of a block share is sent once a block.
+   The number of buckets and of partitions grows with the bytes of the input.
 2. Texts whose prefix holds shared shingles are listed under these. Of each list the first text is compared with all;
    linked texts join components. Where a long list keeps several components, further pivots outside its main one are
    compared for some rounds. At last the texts outside the main component are compared with all of the list: short
    lists pair by pair, but for pairs of one component and those that the triangle inequality of the Jaccard distance
-   keeps apart; long lists in blocks against blocks, of which only links that join two components come back. So
+   keeps apart; long lists in blocks against blocks, where the prefixes of every order are multiplied first and only
+   pairs that meet under all are verified, of which only links that join two components come back. So
    no link between components is lost, and groups of near copies never become rows of all their pairs.
+   Lists and components that hold much of the input are dealt over many tasks.
 
 Defined results: texts without words (null, empty, blank) have n_shingles 0 and are linked with nothing; rows of equal or null
 doc_id are taken each for itself, and a component's id is the smallest doc_id in it (null only if all are); an empty
-input gives no rows; extra columns are left out.
+input gives no rows; extra columns are left out (keep_one() keeps all of them).
 """
 
 from __future__ import annotations
@@ -29,12 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, split_words, written
+from .common import SPACES, lower_ascii, partitions_for, power_for, split_words, spread_join, text_bytes, unused, written
 
 WORDS, SIMILARITY = 5, 75
 BLOCK_TOKENS, BLOCK_TEXTS, HOT, SHORT_LIST, PIVOT_ROUNDS, SIDE = 1_500_000, 4000, 64, 32, 2, 256
+#: Bytes of text for each bucket of shingles.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 4 << 20, 256, 1 << 16
+#: Longer words are hashed each time, so that the table of hashes is bounded in bytes.
+LONGEST_KEPT = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Odd multipliers that order shingles of equal frequency, one for each order.
+#: Odd multipliers, one for each order: they hash shingles to their place, in the first order only among those of one frequency.
 ORDERS = (np.uint64(1), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
@@ -42,7 +50,9 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 150_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONGEST_KEPT:
+            self[word] = h
         return h
 
 
@@ -181,7 +191,6 @@ def _assemble(similarity: int):
         inside = prefix_length(n, similarity) - (n - shared)  # so many of the prefix are shared, as single ones come first
         order = np.argsort(owner, kind="stable")
         token, df, ends = token[order], df[order], np.cumsum(shared)
-        level = np.floor(np.log2(np.maximum(df, 1))).astype(np.uint32)
         columns: list[list] = [[], [], [], []]
         for k in range(len(n)):
             if n[k] == 0 or inside[k] <= 0 or shared[k] == 0:
@@ -191,8 +200,9 @@ def _assemble(similarity: int):
             at = slice(ends[k] - shared[k], ends[k])
             t, d, q = token[at], df[at], int(min(inside[k], shared[k]))
             columns[0].append(np.sort(t).view(np.int64))
-            for c, rank, odd in zip(columns[1:], (d, d, level[at]), ORDERS):
-                c.append(t[np.lexsort((t * odd, rank))[:q]].view(np.int64))
+            columns[1].append(t[np.lexsort((t * ORDERS[0], d))[:q]].view(np.int64))
+            for c, odd in zip(columns[2:], ORDERS[1:]):
+                c.append(t[np.argsort(t * odd, kind="stable")[:q]].view(np.int64))
         digests, width = own["digests"], len(own["digests"]) // max(len(n), 1)
         return pa.table([pa.array((own["block"] << 12) + np.arange(len(n))), pa.array([digests[i : i + width] for i in range(0, len(digests), width)], pa.binary()), pa.array(n), *[pa.array(c, pa.list_(pa.int64())) for c in columns]], names=["cid", "digest", "n", "tokens", "prefix0", "prefix1", "prefix2"])
 
@@ -207,7 +217,8 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         up = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v"))
         up = written(up.join(up.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left").select("u", F.coalesce("w", "v").alias("w")), "parents")
-        labels = written(labels.join(up.select(F.col("u").alias("label"), "w"), "label", "left").select("cid", F.coalesce("w", "label").alias("label")), "labels")
+        moves = written(labels.groupBy("label").agg(F.count(F.lit(1)).alias("copies")).join(up.select(F.col("u").alias("label"), "w"), "label"), "moves")
+        labels = written(spread_join(labels, moves, ["label"], "copies", F.col("cid"), "left").select("cid", F.coalesce("w", "label").alias("label")), "labels")
         moved = edges.join(up, "u", "left").select(F.coalesce("w", "u").alias("x"), "v").join(up.select(F.col("u").alias("v"), F.col("w").alias("y")), "v", "left").select("x", F.coalesce("y", "v").alias("y"))
         edges = written(moved.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
     return labels
@@ -228,19 +239,26 @@ def _ordered_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _counted(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens of the rows in ascending order, the row of each, and the sizes of the rows' sets."""
-    token = rows["tokens"].combine_chunks()
+def _counted(rows: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """All tokens of a column of lists in ascending order, the row of each, and the number of rows."""
+    token = rows[column].combine_chunks()
     owner = np.repeat(np.arange(len(token)), np.diff(token.offsets.to_numpy()))
     flat = token.flatten().to_numpy()
     order = np.argsort(flat, kind="stable")
-    return flat[order], owner[order], rows["n"].to_numpy()
+    return flat[order], owner[order], len(token)
+
+
+def _of_rows(x: tuple, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """_counted() of the rows to keep."""
+    token, owner, _ = x
+    live = keep[owner]
+    return token[live], (np.cumsum(keep) - 1)[owner[live]], int(keep.sum())
 
 
 def common_tokens(x: tuple, y: tuple, width: int = 4096) -> np.ndarray:
     """The intersection size of every set of x with every one of y, as products of slices of their token matrices."""
     both = np.intersect1d(x[0], y[0])
-    out = np.zeros((len(x[2]), len(y[2])), np.float32)
+    out = np.zeros((x[2], y[2]), np.float32)
     for at in range(0, len(both), width):
         own = both[at : at + width]
         sides = []
@@ -248,7 +266,7 @@ def common_tokens(x: tuple, y: tuple, width: int = 4096) -> np.ndarray:
             lo, hi = np.searchsorted(token, own[0]), np.searchsorted(token, own[-1], "right")
             column = np.searchsorted(own, token[lo:hi])
             hit = own[column] == token[lo:hi]
-            m = np.zeros((len(n), len(own)), np.float32)
+            m = np.zeros((n, len(own)), np.float32)
             m[owner[lo:hi][hit], column[hit]] = 1
             sides.append(m)
         out += sides[0] @ sides[1].T
@@ -262,21 +280,31 @@ def _block_links(rest: DataFrame, now: DataFrame, sets: DataFrame, similarity: i
     x, y = rest.select("pivot", "cid", "label").distinct(), now.select("pivot", "cid", "label").distinct()
     blocks = lambda df, name: df.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias(name))
     number = blocks(x, "nx").join(blocks(y, "ny"), "pivot")
-    tokens = sets.select("cid", "n", "tokens")
+    tokens = sets.select("cid", "n", "tokens", "prefix0", "prefix1", "prefix2")
     place = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n)).cast("int")
+    columns = ["n", "tokens", "prefix0", "prefix1", "prefix2"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = x.join(number, "pivot").join(tokens, "cid").withColumn("i", place("nx", 1)).withColumn("j", every("ny")).select("pivot", "i", "j", "cid", "label", "n", "tokens")
-    y = y.join(number, "pivot").join(tokens, "cid").withColumn("j", place("ny", 2)).withColumn("i", every("nx")).select("pivot", "i", "j", "cid", "label", "n", "tokens")
-    y = y.toDF("y_pivot", "y_i", "y_j", "cid", "label", "n", "tokens")
+    x = x.join(number, "pivot").join(tokens, "cid").withColumn("i", place("nx", 1)).withColumn("j", every("ny")).select("pivot", "i", "j", "cid", "label", *columns)
+    y = y.join(number, "pivot").join(tokens, "cid").withColumn("j", place("ny", 2)).withColumn("i", every("nx")).select("pivot", "i", "j", "cid", "label", *columns)
+    y = y.toDF("y_pivot", "y_i", "y_j", "cid", "label", *columns)
 
     def compare(xs: pa.Table, ys: pa.Table) -> pa.Table:
         a, b = [], []
         if xs.num_rows and ys.num_rows:
-            one, two = _counted(xs), _counted(ys)
-            common = common_tokens(one, two).astype(np.int64)
-            union = one[2][:, None] + two[2][None] - common
-            lx, ly = xs["label"].to_pylist(), ys["label"].to_pylist()
+            nx, ny = xs["n"].to_numpy(), ys["n"].to_numpy()
+            lx, ly = xs["label"].to_numpy(), ys["label"].to_numpy()
             cx, cy = xs["cid"].to_pylist(), ys["cid"].to_pylist()
+            candidate = (100 * np.minimum(nx[:, None], ny[None]) >= similarity * np.maximum(nx[:, None], ny[None])) & (lx[:, None] != ly[None])
+            for k in range(len(ORDERS)):
+                rows, others = candidate.any(1), candidate.any(0)
+                if not rows.any():
+                    break
+                met = common_tokens(_of_rows(_counted(xs, f"prefix{k}"), rows), _of_rows(_counted(ys, f"prefix{k}"), others)) > 0
+                candidate[np.ix_(rows, others)] &= met
+            rows, others = np.flatnonzero(candidate.any(1)), np.flatnonzero(candidate.any(0))
+            common = common_tokens(_of_rows(_counted(xs, "tokens"), candidate.any(1)), _of_rows(_counted(ys, "tokens"), candidate.any(0))).astype(np.int64)
+            union = nx[rows][:, None] + ny[others][None] - common
+            linked = candidate[np.ix_(rows, others)] & (100 * common >= similarity * union)
             parent: dict[int, int] = {}
 
             def root(k: int) -> int:
@@ -284,8 +312,9 @@ def _block_links(rest: DataFrame, now: DataFrame, sets: DataFrame, similarity: i
                     k = parent[k]
                 return k
 
-            for i, j in zip(*(k.tolist() for k in np.nonzero((100 * common >= similarity * union) & (np.array(lx)[:, None] != np.array(ly)[None])))):
-                u, v = root(lx[i]), root(ly[j])
+            for i, j in zip(*np.nonzero(linked)):
+                i, j = int(rows[i]), int(others[j])
+                u, v = root(int(lx[i])), root(int(ly[j]))
                 if u != v:
                     parent[max(u, v)] = min(u, v)
                     a.append(cx[i])
@@ -297,19 +326,20 @@ def _block_links(rest: DataFrame, now: DataFrame, sets: DataFrame, similarity: i
 
 def text_sets(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """SETS of the distinct texts of docs, written."""
-    spark = docs.sparkSession
-    buckets = max(256, 1 << (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    size = text_bytes(docs)
+    buckets, partitions = power_for(size, BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS), partitions_for(docs.sparkSession, size)
     texts = docs.filter(F.col("text").isNotNull()).select(F.unhex(F.sha2("text", 256)).alias("digest"), "text").groupBy("digest").agg(F.first("text").alias("text"))
-    replies = written(_deal(texts, buckets, words).groupBy("bucket").applyInArrow(lambda t: _frequencies(t, buckets), REPLIES), "shingles")
-    return written(replies.groupBy("block").applyInArrow(_assemble(similarity), SETS), "sets")
+    dealt = _deal(texts, buckets, words).repartition(partitions, "bucket")
+    replies = written(dealt.groupBy("bucket").applyInArrow(lambda t: _frequencies(t, buckets), REPLIES), "shingles")
+    return written(replies.repartition(partitions, "block").groupBy("block").applyInArrow(_assemble(similarity), SETS), "sets")
 
 
 def components(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """cid, label of the sets with candidates: those linked directly or through others share a label."""
     alive = sets.filter("tokens is not null")
     lists = written(alive.select("cid", F.explode("prefix0").alias("token")), "lists")
-    pivots = lists.groupBy("token").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("listed")).filter("listed > 1").select("token", "pivot")
-    lists = written(lists.join(pivots, "token"), "lists")
+    pivots = written(lists.groupBy("token").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("listed")).filter("listed > 1"), "pivots")
+    lists = written(spread_join(lists, pivots, ["token"], "listed", F.col("cid")), "lists")
     labels = written(alive.select("cid", F.col("cid").alias("label")), "labels")
     first = _verified(_ordered_pairs(lists.filter("cid <> pivot"), "cid", "pivot"), alive, similarity)
     labels, known = relabel(labels, first.filter("linked")), first
@@ -319,14 +349,16 @@ def components(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         mains = written(counts.groupBy("token").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("listed")).filter("listed > top.n").select("token", F.col("top.label").alias("main"), "listed"), "mains")
         if mains.isEmpty():
             break
-        rest = now.join(mains, "token").filter("label <> main")
+        rest = spread_join(now, mains.withColumn("copies", F.col("listed")), ["token"], "copies", F.col("cid")).filter("label <> main")
         long = rest.filter(F.col("listed") > SHORT_LIST)
         if k < PIVOT_ROUNDS and not long.isEmpty():
             # Two further pivots a list, from outside its main component; those tried before differ, as the hash does.
             h = F.xxhash64("cid", F.lit(k))
             ends = long.groupBy("token").agg(F.min(F.struct(h.alias("h"), "cid", "label")).alias("p"), F.max(F.struct(h.alias("h"), "cid", "label")).alias("q"))
             ends = ends.select("token", F.explode(F.array("p", "q")).alias("p")).select("token", F.col("p.cid").alias("p"), F.col("p.label").alias("p_label")).distinct()
-            pairs = _ordered_pairs(now.join(ends, "token").filter("label <> p_label"), "cid", "p").join(known.select("a", "b"), ["a", "b"], "left_anti")
+            ends = written(ends.groupBy("token").agg(F.collect_list(F.struct("p", "p_label")).alias("ends")).join(mains.select("token", "listed"), "token"), "ends")
+            met = spread_join(now, ends, ["token"], "listed", F.col("cid")).withColumn("e", F.explode("ends")).select("cid", "label", "e.p", "e.p_label")
+            pairs = _ordered_pairs(met.filter("label <> p_label"), "cid", "p").join(known.select("a", "b"), ["a", "b"], "left_anti")
             new = _verified(pairs, alive, similarity)
             labels, known = relabel(labels, new.filter("linked")), known.unionAll(new)
             continue
@@ -345,22 +377,40 @@ def components(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     return labels
 
 
+def _members(docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """doc_id, digest, n, label (null without words) of every row of docs, written."""
+    sets = text_sets(docs, words, similarity)
+    rows = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    copies = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    classes = sets.join(components(sets, similarity), "cid", "left").select("digest", "n", F.when(F.col("n") > 0, F.coalesce("label", "cid")).alias("label"))
+    classes = written(classes.join(copies, "digest"), "classes")
+    return written(spread_join(rows, classes, ["digest"], "copies", F.col("doc_id"), "left"), "members")
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    sets = text_sets(docs, words, similarity)
-    labels = components(sets, similarity)
-    classes = sets.select("cid", "digest", "n").join(labels, "cid", "left").select("digest", "n", F.coalesce("label", "cid").alias("label"))
-    rows = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")).join(classes, "digest", "left")
-    rows = written(rows.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).alias("label")), "members")
-    least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = _members(docs, words, similarity)
+    least = written(rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("copies")), "least")
+    joined = spread_join(rows, least, ["label"], "copies", F.struct("doc_id", "digest"), "left")
+    return joined.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """docs without all but one row of each component: the row of the smallest doc_id stays."""
-    found = written(jaccard_components(docs, words, similarity), "components")
-    # Rows that share a doc_id are told apart by their text; equal rows are one document.
-    heads = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    single = docs.join(heads.filter("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    several = docs.join(heads.filter("rows > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several).unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+    """docs without all but one row of each component: the row of the smallest doc_id stays (null after all others, then the smallest
+    digest of its text; rows equal in both are one). Rows without words all stay. All columns are kept as they are."""
+    rows = _members(docs, words, similarity).filter("label is not null")
+    heads = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("head")).select("head.doc_id", "head.digest")
+    rows = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    heads = written(heads.alias("h").join(rows.alias("r"), (F.col("h.digest") == F.col("r.digest")) & F.col("h.doc_id").eqNullSafe(F.col("r.doc_id"))).select("h.doc_id", "h.digest", "rows"), "heads")
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(f"[^{SPACES}]")
+    place = lambda: F.xxhash64("doc_id", "digest")  # noqa: E731  copies of one text have many places
+    name = unused(docs.columns, "digest")
+    found = docs.filter(worded).withColumn(name, F.unhex(F.sha2("text", 256)))
+
+    def kept(heads_of: DataFrame) -> DataFrame:
+        h = heads_of.select(F.col("doc_id").alias("h_id"), F.col("digest").alias("h_digest"), place().alias("h_place"))
+        on = (F.xxhash64(found["doc_id"], found[name]) == h["h_place"]) & (found[name] == h["h_digest"]) & found["doc_id"].eqNullSafe(h["h_id"])
+        return found.join(h, on, "left_semi")
+
+    several = kept(heads.filter("rows > 1")).dropDuplicates(["doc_id", name])
+    return kept(heads.filter("rows = 1")).unionByName(several).select(*docs.columns).unionByName(docs.filter(~worded))
