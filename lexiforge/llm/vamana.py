@@ -1,13 +1,19 @@
 """Approximate nearest neighbours on robust-pruned directed graphs.
 
-Vectors are dealt into shards of a bounded number. In each shard a graph is built in two passes: a greedy search from
-the medoid proposes neighbours for every vector, and robust pruning keeps those that no kept neighbour is much closer
-to (by the relaxed factor alpha), so that edges point in diverse directions; edges back are added and pruned alike.
-A query's beam search runs over every shard, and the shards' results are scored exactly and merged.
+Vectors are dealt into shards of bounded size, each of one narrow band of norms. In each shard a graph is built in two
+passes: a greedy search from the medoid proposes neighbours for every vector, and robust pruning keeps those that no
+kept neighbour is much closer to (by the relaxed factor alpha), so that edges point in diverse directions; edges back
+are added and pruned alike. A query's beam search runs over every shard, and the shards' results are scored exactly
+and merged.
 
-Nearness is the inner product: one more coordinate gives all vectors of a shard the same norm, which turns it
-into Euclidean distance, whatever the norms. Equal vectors are one node; their ids come back at the end, the smallest
-first, and never more than the result can hold.
+Nearness is the inner product: one more coordinate gives all vectors of a shard the same norm, which turns it into
+Euclidean distance. In a narrow band that coordinate is small, so queries, which lack it, don't lie far from the nodes.
+Besides, every shard measures its own recall when it is built, on vectors of its own against all of the shard, and
+stores the narrowest beam (96, twice that, and so on) that finds RECALL of the nearest; a shard where only all nodes
+would do is scanned. Shards grow with the input up to a bound, so that a query meets fewer of them.
+
+A shard's graph and the blocks of queries stream through one task: the graph is loaded once, the queries pass it. Equal
+vectors are one node; their ids come back at the end, the smallest first, and never more than the result can hold.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without
 an id; a repeated row counts once; vectors of other dimensions than the query's are no candidates; an empty input gives
@@ -18,13 +24,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import partitions_for, power_for, written
 
-SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, BATCH, CANDIDATES, EXPAND = 4096, 32, 64, 96, 1.2, 256, 96, 4
-QUERY_BLOCK = 1024
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, BATCH, CANDIDATES, EXPAND = 32, 64, 96, 1.2, 256, 96, 4
+#: Vectors of a shard: as many shards as SHARDS, until these are full.
+SHARDS, LEAST_SHARD, MOST_SHARD = 64, 4096, 65536
+QUERY_BLOCK = 128
+#: A shard's beam finds this share of the nearest TRIAL_K for TRIALS vectors of its own.
+RECALL, TRIALS, TRIAL_K = 0.97, 128, 21
+#: Width of a band of norms, as a logarithm: there are fewer than 1,500 / BAND bands of finite numbers.
+BAND = 0.03
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
@@ -141,61 +154,99 @@ def proper(column: str):
     return c.isNotNull() & (F.size(c) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(c, lambda v: v != 0)
 
 
-INDEX = "dim int, shard int, start int, reps binary, vectors binary, graph binary"
+def wide_enough(x: np.ndarray, graph: np.ndarray, start: int, least: int = SEARCH_BEAM, seed: int = 11) -> int:
+    """The narrowest beam that finds RECALL of the largest inner products for vectors of x; at most all of them."""
+    up, n = lifted(x), len(x)
+    own = np.random.default_rng(seed).choice(n, min(TRIALS, n), replace=False)
+    k = min(TRIAL_K, n)
+    true = np.argpartition(-(x[own].astype(np.float64) @ x.T.astype(np.float64)), k - 1, 1)[:, :k]
+    beam = least
+    while beam < n:
+        found, _ = beam_search(up, graph, start, np.c_[x[own], np.zeros(len(own), np.float32)], beam)
+        if (found[:, :, None] == true[:, None]).any(1).mean() >= RECALL:
+            return beam
+        beam *= 2
+    return n
+
+
+INDEX = "dim int, shard int, start int, beam int, reps binary, vectors binary, graph binary"
 
 
-def build_index(nodes: DataFrame, shard_size: int = SHARD) -> DataFrame:
-    """A row for each shard of nodes (rep, embedding), written: ids, vectors, graph and start."""
-    shards = max(1, -(-nodes.count() // shard_size))
+def build_index(nodes: DataFrame, shard_size: int | None = None) -> DataFrame:
+    """A row for each shard of nodes (rep, embedding), written: ids, vectors, graph, start and beam."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, v: total + v.cast("double") * v.cast("double")))
+    rows = nodes.withColumns({"dim": F.size("embedding"), "band": F.floor(F.log(norm) / BAND + 0.5).cast("int")})
+    found = sorted(map(tuple, rows.groupBy("dim", "band").count().collect()))
+    size = shard_size or power_for(sum(n for _, _, n in found), SHARDS, LEAST_SHARD, MOST_SHARD)
+    shards, bands = 0, []
+    for dim, band, n in found:
+        bands.append((dim, band, shards, -(-n // size)))
+        shards += -(-n // size)
+    bands = nodes.sparkSession.createDataFrame(bands, "dim int, band int, first int, parts int")
 
     def make(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep")
         x = np.stack(frame["embedding"].to_numpy()).astype(np.float32)
         graph, start = build(lifted(x))
-        return pd.DataFrame([{"dim": key[0], "shard": key[1], "start": start, "reps": frame["rep"].to_numpy(np.int64).tobytes(), "vectors": x.tobytes(), "graph": graph.astype(np.int32).tobytes()}])
+        beam = wide_enough(x, graph, start)
+        return pd.DataFrame([{"dim": key[0], "shard": key[1], "start": start, "beam": beam, "reps": frame["rep"].to_numpy(np.int64).tobytes(), "vectors": x.tobytes(), "graph": graph.astype(np.int32).tobytes()}])
+
+    rows = rows.join(F.broadcast(bands), ["dim", "band"]).withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int")).drop("band", "first", "parts")
+    # A fixed number of partitions: adaptive execution must not put many shards, small as their rows are, into one task.
+    dealt = rows.repartition(partitions_for(nodes.sparkSession, 2 * shards, 1), "dim", "shard")
+    return written(dealt.groupBy("dim", "shard").applyInPandas(make, INDEX), "vamana")
+
 
-    rows = nodes.withColumns({"dim": F.size("embedding"), "shard": F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")})
-    return written(rows.groupBy("dim", "shard").applyInPandas(make, INDEX), "vamana")
+FOUND = pa.schema([("query_id", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rep, score: the k nearest nodes of every shard that beam search finds for each of queries (query_id, embedding)."""
-    n = queries.count()
-    blocked = queries.withColumns({"dim": F.size("embedding"), "part": F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // QUERY_BLOCK)))).cast("int")})
-    parts = blocked.select("dim", "part").distinct()
-    here = index.join(parts, "dim").withColumnsRenamed({"dim": "of_dim", "shard": "of_shard", "part": "of_part"})
-    asked = blocked.join(index.select("dim", "shard"), "dim")
-
-    def ask(key, graphs: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in graphs.itertuples():
-            dim = int(key[0])
-            x = np.frombuffer(row.vectors, np.float32).reshape(-1, dim)
-            reps, graph = np.frombuffer(row.reps, np.int64), np.frombuffer(row.graph, np.int32).reshape(len(x), -1).astype(np.int64)
-            up, exact = lifted(x), x.astype(np.float64)
-            for at in range(0, len(frame), BATCH):
-                own = frame.iloc[at : at + BATCH]
-                q = np.stack(own["embedding"].to_numpy()).astype(np.float64)
-                ids, _ = beam_search(up, graph, row.start, np.c_[q, np.zeros(len(q))].astype(np.float32), max(beam, k))
-                # the beam holds k and more; exact products decide
-                score = np.where(ids >= 0, np.einsum("ijk,ik->ij", exact[ids], q), -np.inf)
-                rep = np.where(ids >= 0, reps[ids], np.iinfo(np.int64).max)
-                best = np.lexsort((rep, -score), axis=1)[:, :k]
-                r, c = np.nonzero(np.take_along_axis(ids, best, 1) >= 0)
-                out.append(pd.DataFrame({"query_id": own["query_id"].to_numpy()[r], "rep": np.take_along_axis(rep, best, 1)[r, c], "score": np.take_along_axis(score, best, 1)[r, c]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    return here.groupBy("of_dim", "of_shard", "of_part").cogroup(asked.groupBy("dim", "shard", "part")).applyInPandas(ask, "query_id long, rep long, score double")
-
-
-def nearest(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
+    n, shards = queries.count(), index.count()
+    blocks = queries.withColumns({"dim": F.size("embedding"), "part": F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // QUERY_BLOCK)))).cast("int")})
+    blocks = blocks.groupBy("dim", "part").agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))
+    blocks = written(blocks.select("dim", "part", "asked.query_id", F.flatten("asked.embedding").alias("vectors")), "query-blocks")
+    # A row a shard: as many as full shards and bands, so it is small.
+    asked = blocks.join(F.broadcast(index.select("dim", "shard")), "dim").select("dim", "shard", "part", "query_id", F.col("vectors").alias("asked"))
+    both = index.withColumn("part", F.lit(-1)).unionByName(asked, allowMissingColumns=True)
+    both = both.repartition(partitions_for(index.sparkSession, 2 * shards, 1), "dim", "shard").sortWithinPartitions("dim", "shard", "part")
+    columns = ["dim", "shard", "part", "start", "beam", "reps", "vectors", "graph", "query_id", "asked"]
+
+    def ask(batches):
+        here, graph, reps, x, up, start, beam = None, None, None, None, None, 0, 0
+        for b in batches:
+            for i in range(b.num_rows):
+                dim, shard, part = (b.column(c)[i].as_py() for c in range(3))
+                if part < 0:
+                    here, start, beam = (dim, shard), b.column(3)[i].as_py(), b.column(4)[i].as_py()
+                    x = np.frombuffer(b.column(6)[i].as_py(), np.float32).reshape(-1, dim)
+                    reps, graph = np.frombuffer(b.column(5)[i].as_py(), np.int64), np.frombuffer(b.column(7)[i].as_py(), np.int32).reshape(len(x), -1).astype(np.int64)
+                    up = lifted(x)
+                elif here == (dim, shard):
+                    asked_by = b.column(8)[i].values.to_numpy()
+                    q = b.column(9)[i].values.to_numpy().reshape(-1, dim).astype(np.float64)
+                    if max(beam, k) >= len(x):
+                        ids = np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
+                    else:
+                        ids, _ = beam_search(up, graph, start, np.c_[q, np.zeros(len(q))].astype(np.float32), max(beam, k))
+                    # the beam holds k and more; exact products decide
+                    score = q @ x.T.astype(np.float64) if ids.shape[1] == len(x) else np.where(ids >= 0, np.einsum("ijk,ik->ij", x[ids].astype(np.float64), q), -np.inf)
+                    rep = np.where(ids >= 0, reps[ids], np.iinfo(np.int64).max)
+                    best = np.lexsort((rep, -score), axis=1)[:, :k]
+                    r, c = np.nonzero(np.take_along_axis(ids, best, 1) >= 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked_by[r]), pa.array(np.take_along_axis(rep, best, 1)[r, c]), pa.array(np.take_along_axis(score, best, 1)[r, c])], schema=FOUND)
+
+    return both.select(*columns).mapInArrow(ask, "query_id long, rep long, score double")
+
+
+def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, shard_size: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows found for each row whose vec_id is divisible by every."""
     rows = embeddings.filter(F.col("vec_id").isNotNull() & proper("embedding")).select("vec_id", "embedding").distinct()
     # Equal vectors are one node; no result has room for more than k + 1 of its ids.
     order = Window.partitionBy("embedding").orderBy("vec_id")
     ranked = written(rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).withColumn("rep", F.min("vec_id").over(Window.partitionBy("embedding"))), "vectors")
     nodes = ranked.filter("n = 1").select(F.col("vec_id").alias("rep"), "embedding")
-    index = build_index(nodes)
+    index = build_index(nodes, shard_size)
     queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding")
     found = search_index(index, queries, k + 1)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rep")
