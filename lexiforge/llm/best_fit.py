@@ -4,7 +4,9 @@ Documents are cut into pieces of at most the capacity; full pieces are sequences
 at random into blocks of a bounded number of pieces, and each block is packed alone: best fit, longest first, then a
 local search over the underfull bins that moves pieces and exchanges one for one or two for one, always raising the
 sum of squared fills, so that the least filled bins empty. What is left in the underfull bins of all blocks is dealt
-into fewer blocks and packed once more.
+into fewer blocks and packed once more. The local search ends when no exchange of its neighbourhood helps.
+
+pack_documents() tells each piece its place; packed_sequences() gives the sequences with their ids.
 
 Defined results: a null text is an empty document of its end id alone; rows are taken each for itself, also with
 equal or null doc_id; an empty input gives no rows; extra columns are left out.
@@ -12,7 +14,6 @@ equal or null doc_id; an empty input gives no rows; extra columns are left out.
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
@@ -26,9 +27,9 @@ from .token_codec import codec
 
 #: Entries of the token table: in the pipeline a worker holds the tables of other stages too.
 TABLE = 250_000
-CAPACITY, BLOCK_PIECES, DONORS, PASSES = 4096, 8192, 24, 8
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ordinal long"
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, ordinal long, bin long, offset long, fill long"
+CAPACITY, BLOCK_PIECES, DONORS = 4096, 8192, 24
+PIECES = "doc_id long, piece int, start long, length long, ids binary, ordinal long"
+PLACED = "ordinal long, length long, bin long, offset long, fill long"
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -54,10 +55,12 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY, donors: int = DONORS, passes: int = PASSES) -> list[list[int]]:
-    """Raises the sum of squared fills by exchanges between underfull bins until the least filled ones empty or none helps."""
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY, donors: int = DONORS) -> list[list[int]]:
+    """Raises the sum of squared fills by exchanges between underfull bins until the least filled ones empty or none helps.
+
+    Each exchange raises that sum, so it ends. The donors are the least filled bins; two pieces that go for one are near each other in size."""
     fill = [sum(lengths[k] for k in b) for b in bins]
-    for _ in range(passes):
+    while True:
         under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
         giving, changed = under[:donors], False
         if len(under) < 2 or sum(capacity - fill[b] for b in under) < fill[under[0]]:
@@ -110,15 +113,15 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
                 ids = memoryview(packed(text) + end)
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), ordinal))
+                    out.append((doc_id, piece, at // 4, len(part) // 4, bytes(part), ordinal))
                     ordinal += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "ordinal"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids", "ordinal"])
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
 def _pack_blocks(pieces: DataFrame, blocks: int, round_no: int, capacity: int) -> DataFrame:
-    """pieces, dealt at random into blocks, each packed alone; bin, offset and the bin's fill are added."""
+    """ordinal and length of pieces, dealt at random into blocks, each packed alone; bin, offset and the bin's fill are added."""
 
     def pack(key, frame):
         frame = frame.sort_values("ordinal", kind="stable").reset_index(drop=True)
@@ -130,23 +133,44 @@ def _pack_blocks(pieces: DataFrame, blocks: int, round_no: int, capacity: int) -
         first = np.r_[True, of[1:] != of[:-1]]
         before = np.cumsum(sizes) - sizes
         fills = np.bincount(of, sizes).astype(np.int64)
-        return frame.iloc[order].assign(bin=(round_no << 60) + (int(key[0]) << 24) + of, offset=before - np.repeat(before[first], np.bincount(of)), fill=fills[of])[[c.split()[0] for c in PACKED.split(", ")]]
+        return frame.iloc[order].assign(bin=(round_no << 60) + (int(key[0]) << 24) + of, offset=before - np.repeat(before[first], np.bincount(of)), fill=fills[of])[[c.split()[0] for c in PLACED.split(", ")]]
 
     block = F.pmod(F.xxhash64("ordinal", F.lit(round_no)), F.lit(blocks))
-    return pieces.withColumn("block", block).groupBy("block").applyInPandas(lambda key, f: pack(key, f.drop(columns="block")), PACKED)
+    return pieces.withColumn("block", block).groupBy("block").applyInPandas(lambda key, f: pack(key, f.drop(columns="block")), PLACED)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    pieces = written(cut_documents(docs, tokenizer_path, end_id, capacity), "pieces")
-    part = pieces.filter(F.col("length") < capacity)
+def placed(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+    """ordinal, sequence_id and offset of every one of pieces (ordinal, length)."""
+    part = pieces.select("ordinal", "length").filter(F.col("length") < capacity)
     packed = written(_pack_blocks(part, max(1, -(-part.count() // block_pieces)), 1, capacity), "packed")
     # Bins that local search couldn't fill up to a hundredth of the capacity meet those of other blocks.
     loose = packed.filter(F.col("fill") * 100 < capacity * 99)
     n = loose.count()
-    again = _pack_blocks(loose.drop("bin", "offset", "fill"), max(1, -(-n // block_pieces)), 2, capacity)
-    whole = pieces.filter(F.col("length") >= capacity).withColumns({"bin": F.lit(3 << 60) + F.col("ordinal"), "offset": F.lit(0).cast("long")})
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset"]
-    return packed.filter(F.col("fill") * 100 >= capacity * 99).select(columns).unionAll(again.select(columns)).unionAll(whole.select(columns))
+    again = _pack_blocks(loose.select("ordinal", "length"), max(1, -(-n // block_pieces)), 2, capacity)
+    whole = pieces.filter(F.col("length") >= capacity).select("ordinal", (F.lit(3 << 60) + F.col("ordinal")).alias("bin"), F.lit(0).cast("long").alias("offset"))
+    every = packed.filter(F.col("fill") * 100 >= capacity * 99).select("ordinal", "bin", "offset").unionAll(again.select("ordinal", "bin", "offset")).unionAll(whole)
+    return every.withColumnRenamed("bin", "sequence_id")
+
+
+def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
+    """cut_documents(), written: the texts are encoded once."""
+    return written(cut_documents(docs, tokenizer_path, end_id, capacity), "pieces", compression="zstd")
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    pieces = pieces_of(docs, tokenizer_path, end_id, capacity)
+    rows = pieces.select("ordinal", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return rows.join(placed(pieces, capacity, block_pieces), "ordinal").drop("ordinal")
+
 
+def packed_sequences(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+    """sequence_id, n_tokens, ids (little-endian unsigned 32-bit) and pieces (doc_id, piece, offset, length) of every sequence.
 
+    A sequence holds at most capacity tokens, so its row is bounded."""
+    pieces = pieces_of(docs, tokenizer_path, end_id, capacity)
+    rows = pieces.join(placed(pieces, capacity, block_pieces), "ordinal")
+    rows = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids"))).alias("x"))
+    ids = F.unhex(F.array_join(F.transform("x", lambda p: F.hex(p["ids"])), ""))
+    pieces_in = F.transform("x", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["offset"].alias("offset"), p["length"].alias("length")))
+    return rows.select("sequence_id", F.aggregate("x", F.lit(0).cast("long"), lambda n, p: n + p["length"]).alias("n_tokens"), ids.alias("ids"), pieces_in.alias("pieces"))

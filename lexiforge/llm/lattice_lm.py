@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, lower_ascii, split_words, written
+from .common import fold, lower_ascii, partitions_for, split_words, text_bytes, written
 from .piece_table import MARK
 
 BLOCK_WORDS, BLOCK_TOKENS, GROUP_CHARS, EM_ROUNDS, SMOOTHING, ZIPF_SHIFT = 400_000, 4_000_000, 300_000, 1, 0.1, 2.7
@@ -208,8 +208,10 @@ def expected_counts(words: DataFrame, model_path: str, log_p: np.ndarray) -> np.
 
 def lattice_scores(docs: DataFrame, model_path: str, em_rounds: int = EM_ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of every row of docs."""
+    partitions = partitions_for(docs.sparkSession, text_bytes(docs))
     tokens = count_words(docs)
-    listed = tokens.filter("word is not null")
+    # Partitions grow with the input. A word is listed once a block, so no word is hot and nothing is gained by summing before.
+    listed = tokens.filter("word is not null").repartition(partitions, "word")
     words = written(listed.groupBy("word").agg(F.sum("n_train").alias("n_train")), "lm-words")
     in_words, distinct = words.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count(F.when(F.col("n_train") > 0, 1))).first()
     train_docs = tokens.filter("word is null and not held_out").count()
@@ -230,7 +232,7 @@ def lattice_scores(docs: DataFrame, model_path: str, em_rounds: int = EM_ROUNDS)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.float64())], ["word", "n_all", "log10_p"])
 
     scored = words.select("word", F.col("n_train").alias("n_all")).mapInArrow(score, "word string, n_all long, log10_p double")
-    by_block = listed.select("block", "place", "word").join(scored, "word").select(F.col("block").alias("of_block"), "place", "n_all", "log10_p")
+    by_block = listed.select("block", "place", "word").join(scored.repartition(partitions, "word"), "word").select(F.col("block").alias("of_block"), "place", "n_all", "log10_p")
     texts = tokens.filter("word is null").select("block", "doc_id", "held_out", "places")
     per_end = (math.log10((train_docs + 1) / (total + kinds + 1)), float(log_p[end]) / math.log(10))
 
@@ -247,4 +249,4 @@ def lattice_scores(docs: DataFrame, model_path: str, em_rounds: int = EM_ROUNDS)
         n_tokens, n_known, bases, scores = zip(*out)
         return pa.table({"doc_id": texts_of["doc_id"], "held_out": texts_of["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array(np.full(len(out), total, np.int64)), "base_score": pa.array(bases, pa.float64()), "score": pa.array(scores, pa.float64())})
 
-    return texts.groupBy("block").cogroup(by_block.groupBy("of_block")).applyInArrow(join, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return texts.repartition(partitions, "block").groupBy("block").cogroup(by_block.repartition(partitions, "of_block").groupBy("of_block")).applyInArrow(join, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, split_words, written
+from .common import lower_ascii, split_words, spread_join, unused, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: A line is boilerplate beyond so many documents of its host, and beyond this share of them.
@@ -86,19 +86,19 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(metrics: DataFrame, line_docs: int = LINE_DOCS, line_percent: float = LINE_PERCENT) -> DataFrame:
-    """host, line, docs and the first document's content of the lines above their host's limit."""
+    """host, line, docs, copies (rows with the line) and the first document's content of the lines above their host's limit, written."""
     lines = metrics.select("host", "content", "doc_id", F.explode("lines.line").alias("line"))
     # One row for each distinct document that holds a line, then one for each line: hot lines are summed before they meet.
-    each = lines.groupBy("host", "line", "content").agg(F.min("doc_id").alias("doc_id"))
-    lines = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "content")).alias("first")).filter(F.col("docs") > line_docs)
+    each = lines.groupBy("host", "line", "content").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    lines = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"), F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "content")).alias("first")).filter(F.col("docs") > line_docs)
     hosts = metrics.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    return lines.join(hosts, "host").filter(F.col("docs") * 100 > F.col("host_docs") * line_percent).select("host", "line", "docs", F.col("first.content").alias("first_content"))
+    return written(lines.join(hosts, "host").filter(F.col("docs") * 100 > F.col("host_docs") * line_percent).select("host", "line", "docs", "copies", F.col("first.content").alias("first_content")), "frequent-lines")
 
 
 def judged(metrics: DataFrame, **limits) -> DataFrame:
     """metrics with removed (keys of the lines that go), removed_words, base_failed and kept."""
     lines = metrics.select("ordinal", "host", "content", F.explode("lines").alias("x")).select("ordinal", "host", "content", "x.line", "x.words")
-    gone = lines.join(frequent_lines(metrics, **limits), ["host", "line"]).filter(F.col("content") != F.col("first_content"))
+    gone = spread_join(lines, frequent_lines(metrics, **limits), ["host", "line"], "copies", F.col("ordinal")).filter(F.col("content") != F.col("first_content"))
     gone = gone.groupBy("ordinal").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = metrics.join(gone, "ordinal", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long"))).withColumn("base_failed", failed)
@@ -112,26 +112,28 @@ def quality_rules(docs: DataFrame, **limits) -> DataFrame:
 
 
 def apply_quality(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs that are kept, without the lines that go (n_chars follows the text)."""
+    """The rows of docs that are kept, without the lines that go (n_chars follows the text); all columns stay, whatever their names."""
     # A verdict hangs on host and content alone, so equal rows share one.
-    verdicts = judged(measure(docs), **limits).filter("kept").groupBy("host", "content").agg(F.first("removed").alias("removed"))
-    rows = docs.withColumns({"__host": host_of(F.col("source")), "__content": content_of(F.col("text"))})
-    kept = rows.join(verdicts.select(F.col("host").alias("__host"), F.col("content").alias("__content"), F.col("removed").alias("__removed")), ["__host", "__content"])
     columns, at = docs.columns, docs.columns.index("text")
+    host, content, removed = (unused(columns, x) for x in ("host", "content", "removed"))
+    verdicts = judged(measure(docs), **limits).filter("kept").groupBy("host", "content").agg(F.first("removed").alias(removed), F.count(F.lit(1)).alias(unused(columns, "copies")))
+    verdicts = written(verdicts.withColumnsRenamed({"host": host, "content": content}), "verdicts")
+    rows = docs.withColumns({host: host_of(F.col("source")), content: content_of(F.col("text"))})
+    kept = spread_join(rows, verdicts, [host, content], unused(columns, "copies"), F.col("doc_id"))
     size = columns.index("n_chars") if "n_chars" in columns else None
 
     def strip(batches):
         for b in batches:
             arrays = [b.column(k) for k in range(len(columns))]
-            removed = b.column(len(columns)).to_pylist()
-            if any(removed):
-                texts = [remove_lines(t, set(r)) if r else t for t, r in zip(arrays[at].to_pylist(), removed)]
+            gone = b.column(len(columns)).to_pylist()
+            if any(gone):
+                texts = [remove_lines(t, set(r)) if r else t for t, r in zip(arrays[at].to_pylist(), gone)]
                 if size is not None:
-                    arrays[size] = pa.array([len(t) if r else n for t, r, n in zip(texts, removed, arrays[size].to_pylist())], arrays[size].type)
+                    arrays[size] = pa.array([len(t) if r else n for t, r, n in zip(texts, gone, arrays[size].to_pylist())], arrays[size].type)
                 arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    return kept.select(*columns, "__removed").mapInArrow(strip, docs.schema)
+    return kept.select(*columns, removed).mapInArrow(strip, docs.schema)
 
 
 def remove_lines(text: str, keys: set[int]) -> str:

@@ -22,6 +22,8 @@ WIDE_BLANKS = BLANKS + "  -     　"
 BYTE_RULE = f"'(?:[sdmt]|ll|ve|re)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
 WORD_RULE = f"'(?:[sdmt]|ll|ve|re)|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+"
 MAX_ENTRIES = 600_000
+#: Longer chunks are merged each time, so that the table is bounded in bytes.
+LONGEST_KEPT = 64
 
 
 def _byte_letters() -> list[str]:
@@ -41,7 +43,9 @@ class _Table(dict):
         if len(self) >= self.max_entries:
             self.clear()
         ids = self.ids_of(chunk)
-        packed = self[chunk] = pack(f"<{len(ids)}I", *ids)
+        packed = pack(f"<{len(ids)}I", *ids)
+        if len(chunk) <= LONGEST_KEPT:
+            self[chunk] = packed
         return packed
 
 

@@ -30,6 +30,8 @@ from .common import fold, lower_ascii
 BUCKETS, MAX_LABELS, PRIOR, COST, SIGNIFICANT, THRESHOLD = 1 << 18, 30_000, 10.0, 0.3, 3.5, 0.3
 #: A passage is significant if so many such are expected in a clean text of its length, at most.
 EXPECTED = 0.05
+#: Longer tokens are hashed each time, so that the table of hashes is bounded in bytes.
+LONGEST_KEPT = 64
 TOKEN = re.compile(r"[^\W\d_]+").findall
 
 
@@ -37,7 +39,9 @@ class _Buckets(dict):
     def __missing__(self, token: str) -> int:
         if len(self) > 150_000:
             self.clear()
-        k = self[token] = zlib.crc32(token.encode()) & (BUCKETS - 1)
+        k = zlib.crc32(token.encode()) & (BUCKETS - 1)
+        if len(token) <= LONGEST_KEPT:
+            self[token] = k
         return k
 
 
@@ -158,21 +162,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Sco
     scores = token_scores(with_it[1], with_it[0], n_toxic, n_other)
     scorer = Scorer(scores, scale_of(scores, tokens[0]))
 
-    def best_of(batches):
-        for b in batches:
-            found = [scorer.passages(t) for t in b.column(1).to_pylist()]
-            x = [(n, [v[2] for v in own]) for n, own in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in x], pa.int64()), pa.array([v for _, v in x], pa.list_(pa.float64()))], ["toxic", "n", "scores"])
+    def measured(of):
+        def run(batches):
+            for b in batches:
+                x = np.array([of(*scorer.passages(t)) for t in b.column(1).to_pylist()]).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "best", "rest"])
+
+        # Two numbers for each of max_labels / 3 rows or so.
+        return rows.filter("third = 0").mapInArrow(run, "toxic int, best double, rest double").toPandas()
 
-    held = rows.filter("third = 0").mapInArrow(best_of, "toxic int, n long, scores array<double>").toPandas()
+    held = measured(lambda n, found: (scorer.scale * max((x[2] for x in found), default=0.0) - np.log(max(n, 1)), 0.0))
     y = (held["toxic"].to_numpy() > 0).astype(float)
     scorer.rate = float(y.mean()) if len(y) else 0.0
     if len(y) and 0 < y.mean() < 1:
-        best = np.array([scorer.scale * max(v, default=0.0) - np.log(max(n, 1)) for n, v in zip(held["n"], held["scores"])])
-        scorer.offset = float(best[y == 0].mean() - np.euler_gamma)  # the standard law has this mean
-        shift = [scorer.offset + np.log(max(n, 1)) for n in held["n"]]
-        x = [scorer.summary(n, [(0, 0, v, scorer.scale * v - at) for v in own]) for n, own, at in zip(held["n"], held["scores"], shift)]
-        scorer.weights = _logistic(np.array(x), y)
+        scorer.offset = float(held["best"].to_numpy()[y == 0].mean() - np.euler_gamma)  # the standard law has this mean
+        held = measured(scorer.summary)
+        scorer.weights = _logistic(held[["best", "rest"]].to_numpy(), (held["toxic"].to_numpy() > 0).astype(float))
     return scorer
 
 
