@@ -10,6 +10,7 @@ into marked words (a run of markers and what follows).
 3. Each block joins ids and decoded words by position: a text's ids are those of its words one after another and the
    end id, its decoded text is its decoded words with blanks between them.
 
+What moves is compressed where it is made: places by planes of bytes, for the frequent words make each plane uneven.
 Buckets and partitions grow with the bytes of the input, so that neither a bucket's words nor a block outgrow a worker.
 Texts with a NUL character, and all texts if the vocabulary has crossing pieces or the normaliser changes more than
 blanks, go to the library whole.
@@ -26,6 +27,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +36,30 @@ from .common import partitions_for, power_for, text_bytes, written
 
 MARK = "▁"
 #: A block of texts lists at most so many distinct words and tokens (one text more may exceed it).
-BLOCK_WORDS, BLOCK_TOKENS = 300_000, 3_000_000
+BLOCK_WORDS, BLOCK_TOKENS = 600_000, 4_000_000
 #: Bytes of text for each bucket of words.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 64, 1 << 16
-BLOCKS = "block long, bucket int, n int, words binary, doc_id long, places binary, whole string"
+BLOCKS = "block long, bucket int, words binary, doc_ids array<long>, sizes binary, places binary, wholes array<string>"
 REPLIES = "of_block long, of_bucket int, counts binary, ids binary, decoded binary"
 
 
+def _pack(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _pack_places(places: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, all first bytes, then all second ones, and so on."""
+    return _pack(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack_places(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unpack(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 class PieceCodec:
     def __init__(self, path: str):
         import sentencepiece
@@ -89,7 +108,7 @@ def piece_codec(path: str) -> PieceCodec:
 
 
 def _blocks(docs: DataFrame, model_path: str, buckets: int) -> DataFrame:
-    """The blocks, written: a row for each text with the places of its words, and one for each bucket of the block's words."""
+    """The blocks, written: a row with the places of its texts' words (sizes: how many; -1 for a text that goes whole), and one for each bucket of its words."""
 
     def run(batches):
         own, block = piece_codec(model_path), TaskContext.get().partitionId() << 24
@@ -105,17 +124,19 @@ def _blocks(docs: DataFrame, model_path: str, buckets: int) -> DataFrame:
             rank[order] = np.arange(len(words), dtype=np.uint32)
             first = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets)) != 0)
             ends = [*first[1:].tolist(), len(words)]
-            lists = [(int(bucket[order[lo]]), hi - lo, "\0".join([words[k] for k in order[lo:hi].tolist()]).encode()) for lo, hi in zip(first.tolist(), ends)] if words else []
-            n, m = len(texts), len(lists)
+            lists = [(int(bucket[order[lo]]), _pack("\0".join([words[k] for k in order[lo:hi].tolist()]).encode())) for lo, hi in zip(first.tolist(), ends)] if words else []
+            m = len(lists)
+            at = [t[1] for t in texts if t[1] is not None]
+            sizes = np.array([-1 if t[1] is None else len(t[1]) for t in texts], "<i4")
             return pa.RecordBatch.from_arrays([
-                pa.array(np.full(n + m, block, np.int64)),
-                pa.array([None] * n + [x[0] for x in lists], pa.int32()),
-                pa.array([None] * n + [x[1] for x in lists], pa.int32()),
-                pa.array([None] * n + [x[2] for x in lists], pa.binary()),
-                pa.array([t[0] for t in texts] + [None] * m, pa.int64()),
-                pa.array([None if t[1] is None else rank[t[1]].tobytes() for t in texts] + [None] * m, pa.binary()),
-                pa.array([t[2] for t in texts] + [None] * m, pa.string()),
-            ], ["block", "bucket", "n", "words", "doc_id", "places", "whole"])
+                pa.array(np.full(1 + m, block, np.int64)),
+                pa.array([None, *(x[0] for x in lists)], pa.int32()),
+                pa.array([None, *(x[1] for x in lists)], pa.binary()),
+                pa.array([[t[0] for t in texts], *[None] * m], pa.list_(pa.int64())),
+                pa.array([_pack(sizes.tobytes()), *[None] * m], pa.binary()),
+                pa.array([_pack_places(rank[np.concatenate(at)] if words else np.zeros(0, np.uint32)), *[None] * m], pa.binary()),
+                pa.array([[t[2] for t in texts if t[1] is None], *[None] * m], pa.list_(pa.string())),
+            ], ["block", "bucket", "words", "doc_ids", "sizes", "places", "wholes"])
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -132,7 +153,7 @@ def _blocks(docs: DataFrame, model_path: str, buckets: int) -> DataFrame:
         if texts:
             yield flush()
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), "piece-blocks", compression="zstd")
+    return written(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), "piece-blocks")
 
 
 def _segmented(lists: DataFrame, model_path: str, partitions: int) -> DataFrame:
@@ -147,13 +168,13 @@ def _segmented(lists: DataFrame, model_path: str, partitions: int) -> DataFrame:
             for block, bucket, blob in zip(*(b.column(k).to_pylist() for k in range(3))):
                 if bucket != now:
                     now, known = bucket, {}
-                words = blob.decode().split("\0")
+                words = _unpack(blob).decode().split("\0")
                 new = [w for w in words if w not in known]
                 ids = [own.ids(w) for w in new]
                 for w, x, text in zip(new, ids, library.decode(ids, num_threads=1) if ids else []):
                     known[w] = (len(x), np.array(x, kind).tobytes(), text)
                 found = [known[w] for w in words]
-                out.append((block, bucket, np.array([f[0] for f in found], "<u4").tobytes(), b"".join([f[1] for f in found]), "\0".join([f[2] for f in found]).encode()))
+                out.append((block, bucket, _pack_places(np.array([f[0] for f in found])), _pack(b"".join([f[1] for f in found])), _pack("\0".join([f[2] for f in found]).encode())))
             columns = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], [x.split()[0] for x in REPLIES.split(", ")])
 
@@ -168,7 +189,7 @@ def _joined(docs: DataFrame, model_path: str, each, schema: str, arrow: pa.Schem
     partitions = partitions_for(docs.sparkSession, size)
     blocks = _blocks(docs, model_path, buckets)
     replies = _segmented(blocks.filter("bucket is not null"), model_path, partitions)
-    texts = blocks.filter("bucket is null").select("block", "doc_id", "places", "whole")
+    texts = blocks.filter("bucket is null").select("block", "doc_ids", "sizes", "places", "wholes")
 
     def join(texts_of: pa.Table, replies_of: pa.Table) -> pa.Table:
         own = piece_codec(model_path)
@@ -177,13 +198,19 @@ def _joined(docs: DataFrame, model_path: str, each, schema: str, arrow: pa.Schem
         decoded: list[str] = []
         numbers = list(map(str, range(own.library.vocab_size())))
         for row in replies_of.sort_by("of_bucket").to_pylist():
-            ids, ends = [numbers[k] for k in np.frombuffer(row["ids"], kind).tolist()], np.cumsum(np.frombuffer(row["counts"], "<u4")).tolist()
+            ids, ends = [numbers[k] for k in np.frombuffer(_unpack(row["ids"]), kind).tolist()], np.cumsum(_unpack_places(row["counts"])).tolist()
             spelled += [" ".join(ids[s:e]) for s, e in zip([0, *ends], ends)]
-            decoded += row["decoded"].decode().split("\0")
+            decoded += _unpack(row["decoded"]).decode().split("\0")
         out = []
-        for doc_id, places, whole in zip(*(texts_of[c].to_pylist() for c in ("doc_id", "places", "whole"))):
-            at = [] if places is None else np.frombuffer(places, "<u4").tolist()
-            out.append(each(doc_id, [spelled[k] for k in at], [decoded[k] for k in at], whole, own))
+        for row in texts_of.to_pylist():
+            at, start, wholes = _unpack_places(row["places"]).tolist(), 0, iter(row["wholes"])
+            for doc_id, n in zip(row["doc_ids"], np.frombuffer(_unpack(row["sizes"]), "<i4").tolist()):
+                if n < 0:
+                    out.append(each(doc_id, [], [], next(wholes), own))
+                else:
+                    own_places = at[start : start + n]
+                    start += n
+                    out.append(each(doc_id, [spelled[k] for k in own_places], [decoded[k] for k in own_places], None, own))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
 
     left = texts.repartition(partitions, "block").groupBy("block")
