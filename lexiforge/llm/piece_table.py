@@ -6,11 +6,12 @@ into marked words (a run of markers and what follows).
 
 1. Blocks of texts list their distinct marked words once and keep each text as places in that list.
 2. The lists are dealt to buckets by the words' hash. A bucket holds all occurrences of its words, so each distinct word
-   of all texts is segmented, and its ids decoded, exactly once; ids and decoded words go back to the blocks.
-3. Each block joins ids and decoded words by position: a text's ids are those of its words one after another and the
-   end id, its decoded text is its decoded words with blanks between them.
+   of all texts is segmented exactly once; the ids go back to the blocks.
+3. Each block decodes the ids of each of its words once, and joins ids and decoded words by position: a text's ids are
+   those of its words one after another and the end id, its decoded text is its decoded words with blanks between them.
 
-What moves is compressed where it is made: places by planes of bytes, for the frequent words make each plane uneven.
+What moves is compressed where it is made: a bucket's words go by frequency and a place is a word's rank there and then
+its bucket, so that places of frequent words are small numbers, which are stored by planes of bytes.
 Buckets and partitions grow with the bytes of the input, so that neither a bucket's words nor a block outgrow a worker.
 Texts with a NUL character, and all texts if the vocabulary has crossing pieces or the normaliser changes more than
 blanks, go to the library whole.
@@ -40,7 +41,7 @@ BLOCK_WORDS, BLOCK_TOKENS = 600_000, 4_000_000
 #: Bytes of text for each bucket of words.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 16 << 20, 64, 1 << 16
 BLOCKS = "block long, bucket int, words binary, doc_ids array<long>, sizes binary, places binary, wholes array<string>"
-REPLIES = "of_block long, of_bucket int, counts binary, ids binary, decoded binary"
+REPLIES = "of_block long, of_bucket int, counts binary, ids binary"
 
 
 def _pack(data: bytes) -> bytes:
@@ -119,14 +120,14 @@ def _blocks(docs: DataFrame, model_path: str, buckets: int) -> DataFrame:
         def flush():
             words = list(places)
             bucket = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) & np.uint64(buckets - 1)
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(words), np.uint32)
-            rank[order] = np.arange(len(words), dtype=np.uint32)
+            at = [t[1] for t in texts if t[1] is not None]
+            every = np.concatenate(at) if at else np.zeros(0, np.uint32)
+            order = np.lexsort((-np.bincount(every, minlength=len(words)), bucket))
             first = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets)) != 0)
             ends = [*first[1:].tolist(), len(words)]
             lists = [(int(bucket[order[lo]]), _pack("\0".join([words[k] for k in order[lo:hi].tolist()]).encode())) for lo, hi in zip(first.tolist(), ends)] if words else []
-            m = len(lists)
-            at = [t[1] for t in texts if t[1] is not None]
+            m, code = len(lists), np.empty(len(words), np.uint32)
+            code[order] = (np.arange(len(words)) - np.repeat(first, np.diff(first, append=len(words)))) * buckets + bucket[order].astype(np.int64)
             sizes = np.array([-1 if t[1] is None else len(t[1]) for t in texts], "<i4")
             return pa.RecordBatch.from_arrays([
                 pa.array(np.full(1 + m, block, np.int64)),
@@ -134,7 +135,7 @@ def _blocks(docs: DataFrame, model_path: str, buckets: int) -> DataFrame:
                 pa.array([None, *(x[1] for x in lists)], pa.binary()),
                 pa.array([[t[0] for t in texts], *[None] * m], pa.list_(pa.int64())),
                 pa.array([_pack(sizes.tobytes()), *[None] * m], pa.binary()),
-                pa.array([_pack_places(rank[np.concatenate(at)] if words else np.zeros(0, np.uint32)), *[None] * m], pa.binary()),
+                pa.array([_pack_places(code[every]), *[None] * m], pa.binary()),
                 pa.array([[t[2] for t in texts if t[1] is None], *[None] * m], pa.list_(pa.string())),
             ], ["block", "bucket", "words", "doc_ids", "sizes", "places", "wholes"])
 
@@ -161,8 +162,7 @@ def _segmented(lists: DataFrame, model_path: str, partitions: int) -> DataFrame:
 
     def run(batches):
         own, now, known = piece_codec(model_path), None, {}
-        library = own.library
-        kind = "<u2" if library.vocab_size() <= 1 << 16 else "<u4"
+        kind = "<u2" if own.library.vocab_size() <= 1 << 16 else "<u4"
         for b in batches:
             out = []
             for block, bucket, blob in zip(*(b.column(k).to_pylist() for k in range(3))):
@@ -171,12 +171,12 @@ def _segmented(lists: DataFrame, model_path: str, partitions: int) -> DataFrame:
                 words = _unpack(blob).decode().split("\0")
                 new = [w for w in words if w not in known]
                 ids = [own.ids(w) for w in new]
-                for w, x, text in zip(new, ids, library.decode(ids, num_threads=1) if ids else []):
-                    known[w] = (len(x), np.array(x, kind).tobytes(), text)
+                for w, x in zip(new, ids):
+                    known[w] = (len(x), np.array(x, kind).tobytes())
                 found = [known[w] for w in words]
-                out.append((block, bucket, _pack_places(np.array([f[0] for f in found])), _pack(b"".join([f[1] for f in found])), _pack("\0".join([f[2] for f in found]).encode())))
-            columns = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], [x.split()[0] for x in REPLIES.split(", ")])
+                out.append((block, bucket, _pack_places(np.array([f[0] for f in found])), _pack(b"".join([f[1] for f in found]))))
+            columns = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], [x.split()[0] for x in REPLIES.split(", ")])
 
     dealt = lists.select("block", "bucket", "words").repartition(partitions, "bucket").sortWithinPartitions("bucket", "block")
     return dealt.mapInArrow(run, REPLIES)
@@ -197,13 +197,17 @@ def _joined(docs: DataFrame, model_path: str, each, schema: str, arrow: pa.Schem
         spelled: list[str] = []
         decoded: list[str] = []
         numbers = list(map(str, range(own.library.vocab_size())))
-        for row in replies_of.sort_by("of_bucket").to_pylist():
-            ids, ends = [numbers[k] for k in np.frombuffer(_unpack(row["ids"]), kind).tolist()], np.cumsum(_unpack_places(row["counts"])).tolist()
-            spelled += [" ".join(ids[s:e]) for s, e in zip([0, *ends], ends)]
-            decoded += _unpack(row["decoded"]).decode().split("\0")
+        base = np.zeros(buckets, np.int64)
+        for row in replies_of.to_pylist():
+            ids, ends = np.frombuffer(_unpack(row["ids"]), kind).tolist(), np.cumsum(_unpack_places(row["counts"])).tolist()
+            base[row["of_bucket"]] = len(spelled)
+            words = [ids[s:e] for s, e in zip([0, *ends], ends)]
+            spelled += [" ".join([numbers[k] for k in w]) for w in words]
+            decoded += own.library.decode(words, num_threads=1)
         out = []
         for row in texts_of.to_pylist():
-            at, start, wholes = _unpack_places(row["places"]).tolist(), 0, iter(row["wholes"])
+            code, start, wholes = _unpack_places(row["places"]), 0, iter(row["wholes"])
+            at = (base[code % buckets] + code // buckets).tolist()
             for doc_id, n in zip(row["doc_ids"], np.frombuffer(_unpack(row["sizes"]), "<i4").tolist()):
                 if n < 0:
                     out.append(each(doc_id, [], [], next(wholes), own))
