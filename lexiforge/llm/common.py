@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def clean(spark: SparkSession) -> None:
     """Deletes all tables that written() made in this application; results that read them must be stored before."""
+    for t in spark.catalog.listTables(pattern="lexiforge_*"):
+        spark.sql(f"DROP TABLE IF EXISTS `{t.name}`")
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -53,6 +55,15 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """written(), in so many buckets of key: operators that need equal keys together read it without a shuffle.
+
+    Buckets are known to tables alone, so it is an external one of a unique name in the session's catalog."""
+    spark, own = df.sparkSession, f"lexiforge_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{own}").saveAsTable(own)
+    return spark.table(own)
+
+
 #: Bytes of text for each partition of a shuffle whose number of partitions must grow with the input.
 PARTITION_BYTES = 32 << 20
 

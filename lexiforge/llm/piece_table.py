@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, power_for, text_bytes, written
+from .common import partitions_for, power_for, text_bytes, written_by
 
 MARK = "▁"
 #: A block of texts lists at most so many distinct words and tokens (one text more may exceed it).
@@ -108,7 +108,7 @@ def piece_codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-def _blocks(docs: DataFrame, model_path: str, buckets: int) -> DataFrame:
+def _blocks(docs: DataFrame, model_path: str, buckets: int, partitions: int) -> DataFrame:
     """The blocks, written: a row with the places of its texts' words (sizes: how many; -1 for a text that goes whole), and one for each bucket of its words."""
 
     def run(batches):
@@ -154,7 +154,7 @@ def _blocks(docs: DataFrame, model_path: str, buckets: int) -> DataFrame:
         if texts:
             yield flush()
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), "piece-blocks")
+    return written_by(docs.select("doc_id", "text").mapInArrow(run, BLOCKS), "piece-blocks", "block", partitions)
 
 
 def _segmented(lists: DataFrame, model_path: str, partitions: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _joined(docs: DataFrame, model_path: str, each, schema: str, arrow: pa.Schem
     size = text_bytes(docs)
     buckets = power_for(size, BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS)
     partitions = partitions_for(docs.sparkSession, size)
-    blocks = _blocks(docs, model_path, buckets)
+    blocks = _blocks(docs, model_path, buckets, partitions)
     replies = _segmented(blocks.filter("bucket is not null"), model_path, partitions)
     texts = blocks.filter("bucket is null").select("block", "doc_ids", "sizes", "places", "wholes")
 
@@ -217,9 +217,8 @@ def _joined(docs: DataFrame, model_path: str, each, schema: str, arrow: pa.Schem
                     out.append(each(doc_id, [spelled[k] for k in own_places], [decoded[k] for k in own_places], None, own))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), arrow.types)], schema=arrow)
 
-    left = texts.repartition(partitions, "block").groupBy("block")
-    right = replies.repartition(partitions, "of_block").groupBy("of_block")
-    return left.cogroup(right).applyInArrow(join, schema)
+    # The texts lie in buckets of their block already; only the replies move.
+    return texts.groupBy("block").cogroup(replies.repartition(partitions, "of_block").groupBy("of_block")).applyInArrow(join, schema)
 
 
 def _spelled(words: list[str], decoded: list[str], whole: str | None, own: PieceCodec) -> tuple[str, str]:
