@@ -123,9 +123,10 @@ def tidy(c: Column) -> Column:
 
 
 def mixed_repaired(c: Column) -> Column:
-    """Tokens of both scripts become Cyrillic."""
+    """Runs of letters of both scripts become Cyrillic; digits are no part of a run."""
     mixed = lambda w: w.rlike("[A-Za-z]") & w.rlike("[Ѐ-ӿ]")
-    parts = F.split(c, r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)")
+    letter, other = "[A-Za-zЀ-ӿ]", "[^A-Za-zЀ-ӿ]"
+    parts = F.split(c, f"(?<={letter})(?={other})|(?<={other})(?={letter})")
     return F.array_join(F.transform(parts, lambda w: F.when(mixed(w), F.translate(w, BASE_FROM + EXTRA_FROM, BASE_TO + EXTRA_TO)).otherwise(w)), "")
 
 

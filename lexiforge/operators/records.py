@@ -80,16 +80,39 @@ def usage_running(events: DataFrame) -> DataFrame:
 
 
 def ttl_accepted(events: DataFrame, key: str, ttl_seconds: float) -> DataFrame:
-    """M8: which events of each key start a job: those more than the time to live after the last accepted one. A fold over each key's times."""
-    times = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("timestamp").cast("double").alias("t"), "event_id"))).alias("x"))
-    item = "array<struct<event_id:bigint,accepted:boolean>>"
-    state = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(item).alias("out"))
+    """M8: which events of each key start a job: those more than the time to live after the last accepted one.
 
-    def step(s: Column, e: Column) -> Column:
-        ok = s["last"].isNull() | (e["t"] - s["last"] > ttl_seconds)
-        return F.struct(F.when(ok, e["t"]).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(F.struct(e["event_id"].alias("event_id"), ok.alias("accepted")))).alias("out"))
+    An event so long after the one before it is accepted whatever came earlier, so each such gap begins a stretch of its own; only
+    within a stretch events are folded, in order. A busy key so is many small groups."""
+    order = Window.partitionBy(key).orderBy("t", "event_id")
+    rows = events.select(key, F.col("ts").cast("timestamp").cast("double").alias("t"), "event_id")
+    rows = rows.withColumn("first", F.coalesce((F.col("t") - F.lag("t").over(order) > ttl_seconds).cast("int"), F.lit(1))).withColumn("stretch", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
-    return times.select(key, F.inline(F.aggregate("x", state, step)["out"]))
+    def accept(group, frame):
+        last, kept = None, []
+        for t in frame.sort_values(["t", "event_id"])["t"].tolist():
+            ok = last is None or t - last > ttl_seconds
+            last = t if ok else last
+            kept.append(ok)
+        return frame.sort_values(["t", "event_id"])[[key, "event_id"]].assign(accepted=kept)
+
+    return rows.groupBy(key, "stretch").applyInPandas(lambda group, frame: accept(group, frame), f"{key} {dict(events.dtypes)[key]}, event_id {dict(events.dtypes)['event_id']}, accepted boolean")
+
+
+def finished(starts: DataFrame, ends: DataFrame, key: str, ttl_seconds: float) -> DataFrame:
+    """M8 with ends: starts (key, ts, event_id) with accepted; a job that has ended (key, ts of ends) suppresses no more."""
+    both = starts.select(key, F.col("ts").cast("timestamp").cast("double").alias("t"), "event_id").unionByName(ends.select(key, F.col("ts").cast("timestamp").cast("double").alias("t"), F.lit(None).cast("long").alias("event_id")))
+
+    def accept(group, frame):
+        last, kept = None, []
+        frame = frame.assign(end=frame["event_id"].isna()).sort_values(["t", "end", "event_id"], ascending=[True, False, True])
+        for t, end in zip(frame["t"].tolist(), frame["end"].tolist()):
+            ok = not end and (last is None or t - last > ttl_seconds)
+            last = None if end else t if ok else last
+            kept.append(ok)
+        return frame.assign(accepted=kept)[~frame["end"]].astype({"event_id": "int64"})[[key, "event_id", "accepted"]]
+
+    return both.groupBy(key).applyInPandas(lambda group, frame: accept(group, frame), f"{key} {dict(starts.dtypes)[key]}, event_id long, accepted boolean")
 
 
 def registry_upsert(registry: DataFrame, new: DataFrame) -> DataFrame:
@@ -118,12 +141,14 @@ PAIRS = "array<struct<original:string,recognized:string>>"
 
 
 def reply_pairs(raw: Column) -> Column:
-    """L1: the array of pairs in a model's reply: fenced, bare, from its first [ to its last ], or its complete flat objects."""
+    """L1: the array of pairs in a model's reply: fenced, bare, from its first [ to its last ], several arrays in a row, or its complete flat objects."""
     plain = strip(F.regexp_replace(raw, r"^\s*```[a-zA-Z]*\s*|\s*```\s*$", ""))
     inner = F.regexp_extract(plain, r"(?s)(\[.*\])", 1)
     objects = F.concat(F.lit("["), F.array_join(F.regexp_extract_all(plain, F.lit(r"\{[^{}]*\}"), F.lit(0)), ","), F.lit("]"))
     parsed = lambda c: F.when(F.startswith(c, F.lit("[")), F.from_json(c, PAIRS))
-    return F.coalesce(parsed(plain), parsed(inner), parsed(F.regexp_replace(inner, r"\]\s*\[", ",")), parsed(objects), F.array().cast(PAIRS))
+    # The parser stops after the first of several arrays, so those are joined before it sees them.
+    joined = F.regexp_replace(inner, r"\]\s*[\r\n]+\s*\[", ",")
+    return F.coalesce(F.when(~joined.rlike(r"\]\s*\["), parsed(joined)), parsed(objects), F.array().cast(PAIRS))
 
 
 def failed_reply(c: Column) -> Column:

@@ -123,7 +123,7 @@ def query_expand(s, d):
 
 
 def _queries(v):
-    return v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def knn_l2(s, d):
@@ -205,9 +205,9 @@ CATALOGUE = {
     ),
     "section_boost": (section_boost, "select * from (values (1, '1,2,5'), (2, '1,6'), (3, '4,5')) t(id, ids)"),
     "query_expand": (query_expand, "select * from (values (1, 'What is the  PRICE? || payment || price || fee || invoice || advance', 'payment'), (2, 'term and fee || payment || price || fee || invoice || advance || term || duration || notice', 'payment'), (3, 'nothing', null)) t(id, expanded, target)"),
-    "knn_l2": (knn_l2, f"with s as (select q.vec_id query_id, e.vec_id, {L2} s from embeddings e, embeddings q where q.vec_id % 100 = 0) select query_id, vec_id, round(s, 6) score, cast(row_number() over (partition by query_id order by s, vec_id) as int) rank from s qualify rank <= 6"),
-    "knn_cosine": (knn_cosine, f"with s as (select q.vec_id query_id, e.vec_id, {DOT} / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::double * x::double)))) s from embeddings e, embeddings q where q.vec_id % 100 = 0) select query_id, vec_id, round(s, 6) score, cast(row_number() over (partition by query_id order by s desc, vec_id) as int) rank from s qualify rank <= 6"),
-    "knn_label_vote": (knn_label_vote, f"with s as (select q.vec_id query_id, e.vec_id, e.label, row_number() over (partition by q.vec_id order by {L2}, e.vec_id) rank from embeddings e, embeddings q where q.vec_id % 100 = 0 qualify rank <= 7), v as (select query_id, label, count(*) votes from s where query_id <> vec_id group by all) select query_id, label, votes from v qualify row_number() over (partition by query_id order by votes desc, label) = 1"),
+    "knn_l2": (knn_l2, f"with s as (select q.vec_id query_id, e.vec_id, {L2} s from embeddings e, embeddings q where q.vec_id % 50 = 0) select query_id, vec_id, round(s, 6) score, cast(row_number() over (partition by query_id order by s, vec_id) as int) rank from s qualify rank <= 6"),
+    "knn_cosine": (knn_cosine, f"with s as (select q.vec_id query_id, e.vec_id, {DOT} / (sqrt(list_sum(list_transform(e.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::double * x::double)))) s from embeddings e, embeddings q where q.vec_id % 50 = 0) select query_id, vec_id, round(s, 6) score, cast(row_number() over (partition by query_id order by s desc, vec_id) as int) rank from s qualify rank <= 6"),
+    "knn_label_vote": (knn_label_vote, f"with s as (select q.vec_id query_id, e.vec_id, e.label, row_number() over (partition by q.vec_id order by {L2}, e.vec_id) rank from embeddings e, embeddings q where q.vec_id % 50 = 0 qualify rank <= 7), v as (select query_id, label, count(*) votes from s where query_id <> vec_id group by all) select query_id, label, votes from v qualify row_number() over (partition by query_id order by votes desc, label) = 1"),
     "l2_normalize": (l2_normalize, "with u as (select vec_id, embedding[1]::double / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) f from embeddings) select vec_id, round(f, 5) first, 1.0::double square from u"),
     "valid_vectors": (valid_vectors, "select vec_id, len(embedding) dim from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: isnan(x) or isinf(x))) = 0"),
 }

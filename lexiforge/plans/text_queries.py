@@ -35,7 +35,7 @@ WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda
 DATES = ["31.12.2024", "31/12/2024", "2024-12-31", "31-12-2024", "12/31/2024", "bad"]
 CHECKS = [("payment", "any", ["the", "price"]), ("parties", "all", ["and", "of", "that"]), ("term", "any", ["zzz"])]
 LABELS = ["no", "name", "brand", "", "type", "size"]
-REPLIES = ['```json\n[{"original":"a","recognized":"b"}]\n```', '[{"original":"c","recognized":"d"},{"original":"e","recognized":"f"}]', 'so [{"original":"g","recognized":"h"}] it is', '[{"original":"i","recognized":"j"},{"orig', "", "none"]
+REPLIES = ['[{"original":"k","recognized":"l"}]\n[{"original":"m","recognized":"n"}]', '```json\n[{"original":"a","recognized":"b"}]\n```', '[{"original":"c","recognized":"d"},{"original":"e","recognized":"f"}]', 'so [{"original":"g","recognized":"h"}] it is', '[{"original":"i","recognized":"j"},{"orig', "", "none"]
 #: A packer as a recursive query: the state after each paragraph.
 PACK = """with recursive p as (select doc_id, {parts} ps from documents), r as (
  select doc_id, ps, 1 i, ''::varchar cur, []::varchar[] done from p
@@ -55,13 +55,42 @@ def jaccard_pairs(s, d):
     return x.join(y, "doc_id").select("doc_id", F.round(A.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
 
 
+#: F1, the sample contract in its shape: a title in capitals, numbered and named headings, prose, a heading within a section.
+CONTRACT = "ДОГОВОР ОКАЗАНИЯ УСЛУГ\nг. Город\n\nРаздел 1. Предмет\nСторона обязуется оказать услуги.\n\nРаздел 2. Оплата\nСтоимость услуг составляет 120 000 рублей.\n\n2.1. Срок оплаты составляет 5 дней.\n\nРаздел 3. Порядок\nУслуги оказаны с даты акта.\n\nРаздел 4. Ответственность\nНеустойка в размере 0,1% за день.\n\nРаздел 5. Прочее\nВступает в силу с подписания."
+
+
+def with_contract(s, d):
+    own = s.createDataFrame([(-1, CONTRACT)], "doc_id long, text string")
+    return t(s, d, "documents").select("doc_id", "text").unionByName(own)
+
+
 def section_find(s, d):
-    return C.find_sections(t(s, d, "documents").select("doc_id", "text"), r"^[A-Z][a-z ]{2,40}\.$").select("doc_id", "section", "start_line", "end_line")
+    """C1 with the strict headers, over documents and F1."""
+    return C.find_sections(with_contract(s, d), C.STRICT_HEADER).select("doc_id", "section", "title", "number", "start_line", "end_line")
 
 
 def section_chunks(s, d):
-    rows = C.section_texts(t(s, d, "documents").select("doc_id", "text"), r"^[A-Z][a-z ]{2,40}\.$")
-    return rows.select("doc_id", F.col("section").cast("long").alias("section"), F.md5("text").alias("digest"))
+    """C4/C5 with the compat headers, over documents and F1 (whose lines all are headers: no chunk)."""
+    rows = C.section_chunks(with_contract(s, d))
+    return rows.select("doc_id", "chunk_idx", "section_title_raw", "section_number", "chunk_index_in_section", F.md5("chunk").alias("digest"))
+
+
+def heading_split(s, d):
+    """Documents by number, capitals and titles."""
+    return C.heading_split(with_contract(s, d)).select("doc_id", "section", "title", F.md5("text").alias("digest"))
+
+
+def chunk_cap(s, d):
+    """C14: the first 300 chunks of each document."""
+    return C.chunked(t(s, d, "documents"), A.sentences(F.col("text")), 300).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def jaccard_near_dup(s, d):
+    """J6 on the adaptive chunker's units: the lines of each document, without those near an earlier line of it."""
+    from pyspark.sql.types import ArrayType, StringType
+
+    keep = F.pandas_udf(lambda rows: rows.map(lambda x: C.without_near(list(x), 0.5)), ArrayType(StringType()), functionType=200)
+    return t(s, d, "documents").select("doc_id", F.size(keep(F.split("text", "\n"))).alias("kept"))
 
 
 def window_chunks(s, d):
@@ -74,7 +103,7 @@ def chunk_overlap(s, d):
 
 
 def smart_split(s, d):
-    return C.smart_split(t(s, d, "documents").select("doc_id", "text")).select("doc_id", "section", "chunk_idx", F.length("chunk").alias("n"))
+    return C.smart_split(with_contract(s, d)).select("doc_id", "chunk_idx", F.length("chunk").alias("n"))
 
 
 def adaptive_chunks(s, d):
@@ -168,12 +197,10 @@ def json_extract(s, d):
 
 
 def index_counts(s, d):
-    """M1: sanitised, sectioned (C4; by sentences where no header stands), each section windowed, capped: chunks added by document."""
+    """M1: sanitised, sectioned (C4; sentences where no header stands), each section windowed, capped: chunks added by document."""
     x = t(s, d, "documents").select("doc_id", T.sanitized(T.nfkc(F.col("text"))).alias("text"))
-    parts = C.section_texts(x).select("doc_id", "section", F.size(C.windows(F.col("text"))).alias("n"))
-    headed = parts.groupBy("doc_id").agg(F.sum("n").cast("int").alias("n"), F.max("section").alias("sections")).filter("sections > 0")
-    plain = x.select("doc_id", F.size(A.sentences(F.col("text"))).alias("sentences"))
-    return plain.join(headed, "doc_id", "left").select("doc_id", F.least(F.coalesce("n", "sentences"), F.lit(300)).alias("added"))
+    rows = C.section_chunks(x, cap=300).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return x.select("doc_id").join(rows, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("int").alias("added"))
 
 
 def message_split(s, d):
@@ -186,7 +213,35 @@ WINDOWS = """with recursive x as (select doc_id, STRIPPED t from documents), r a
    case when j = length(t) then j when dot = 0 or length(piece) - dot + 1 > 200 then j else i + dot end k2 from (select *, case when contains(piece, '.') then length(piece) - strpos(reverse(piece), '.') + 1 else 0 end dot from (select doc_id, t, i, least(length(t), i + 1600) j, substring(t, i + 1, least(length(t), i + 1600) - i) piece from r where not stop)))) ),
  c as (select doc_id, lag(i, 1, 0) over (partition by doc_id order by k, i) s, k, t from r),
  w as (select doc_id, s, k, regexp_replace(substring(t, s + 1, k - s), '^\\s+|\\s+$', '', 'g') chunk from c where k > 0)
- select doc_id, cast(row_number() over (partition by doc_id order by s) - 1 as int) chunk_idx, md5(chunk) digest from w where length(chunk) >= 20 qualify row_number() over (partition by doc_id order by s) <= 300""".replace("STRIPPED", STRIP.format("text"))
+ select doc_id, cast(row_number() over (partition by doc_id order by s) - 1 as int) chunk_idx, md5(chunk) digest from w where length(chunk) >= 20""".replace("STRIPPED", STRIP.format("text"))
+
+F1 = "select doc_id, text from documents union all select -1, '" + CONTRACT.replace("'", "''") + "'"
+LINES = f"x as ({F1}), l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 n, len(string_split(text, chr(10))) - case when suffix(text, chr(10)) then 1 else 0 end c from x), own as (select doc_id, n, c, line, " + STRIP.format("line") + " s from l where n < c)"
+STRICT_NUMBERED = r"^(?:(?i:раздел|глава|статья|section|chapter)\s+)?([0-9IVXLC]+(?:\.[0-9]+)*)[.):]?\s+(\p{Lu}[^\n]{1,120})$"
+STRICT_CAPITALS = r"^[\p{Lu}\s0-9]{4,120}$"
+COMPAT = r"(?i)^(?:раздел|глава|статья)?\s*([IVXLC]+|[0-9]+(?:\.[0-9]+)*)?\s*[.):\-]?\s*([A-ZА-ЯЁ][^\n]{2,120})$"
+SECTION_FIND = f"""with {LINES}, h as (select *, regexp_matches(s, '{STRICT_NUMBERED}') numbered from own where length(s) >= 3 and not suffix(s, ':') and (regexp_matches(s, '{STRICT_NUMBERED}') or regexp_matches(s, '{STRICT_CAPITALS}')))
+ select doc_id, cast(row_number() over w as int) section, case when numbered then trim(regexp_extract(s, '{STRICT_NUMBERED}', 2)) else s end title, case when numbered then regexp_extract(s, '{STRICT_NUMBERED}', 1) end number, cast(n as int) start_line, cast(coalesce(lead(n) over w, c) as int) end_line from h window w as (partition by doc_id order by n)"""
+SECTIONS = f"""{LINES}, h as (select doc_id, n, c, trim(regexp_extract(s, '{COMPAT}', 2)) title, nullif(regexp_extract(s, '{COMPAT}', 1), '') number, coalesce(lead(n) over (partition by doc_id order by n), c) e from own where length(s) >= 3 and not suffix(s, ':') and regexp_matches(s, '{COMPAT}')),
+ body as (select h.doc_id, h.n, any_value(title) title, any_value(number) number, string_agg(own.line, chr(10) order by own.n) t from h join own on own.doc_id = h.doc_id and own.n > h.n and own.n < h.e group by h.doc_id, h.n)"""
+SECTION_CHUNKS = "with recursive " + SECTIONS + ", y as (select doc_id, n, title, number, " + STRIP.format("t") + """ t from body), r as (
+ select doc_id, n, title, number, t, 0 i, 0 k, false stop from y where t <> ''
+ union all select doc_id, n, title, number, t, i2, k2, k2 >= length(t) from (select doc_id, n, title, number, t, k2, greatest(i + 1, k2 - 250) i2 from (select *,
+   case when j = length(t) then j when dot = 0 or length(piece) - dot + 1 > 200 then j else i + dot end k2 from (select *, case when contains(piece, '.') then length(piece) - strpos(reverse(piece), '.') + 1 else 0 end dot from (select *, least(length(t), i + 1600) j, substring(t, i + 1, least(length(t), i + 1600) - i) piece from r where not stop)))) ),
+ cut as (select doc_id, n, title, number, lag(i, 1, 0) over (partition by doc_id, n order by k, i) s, k, t from r),
+ w as (select doc_id, n, title, number, s, """ + STRIP.format("substring(t, s + 1, k - s)") + """ chunk from cut where k > 0),
+ kept as (select doc_id, n, title, number, s, chunk, row_number() over (partition by doc_id, n order by s) - 1 i from w where length(chunk) >= 20 qualify i < 1000),
+ plain as (select doc_id, unnest(p) chunk, generate_subscripts(p, 1) - 1 i from (select doc_id, """ + SENT + """ p from x where doc_id not in (select doc_id from h))),
+ every as (select doc_id, title, number, i, chunk, n, s from kept union all select doc_id, 'generic', null, i, chunk, 0, i from plain)
+ """
+SECTION_COUNTS = SECTION_CHUNKS.replace(F1, "select doc_id, left(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: left(x, 10000)), chr(10)), 400000) as text from documents")
+MESSAGES = """with recursive p as (select doc_id, list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10) || chr(10)), lambda q: QSTRIP) ps from documents), r as (
+ select doc_id, ps, 1 i, ''::varchar cur, []::varchar[] done from p
+ union all select doc_id, ps, i + 1, case when q = '' then '' when cur <> '' and length(cur) + 2 + length(q) <= 3896 then cur || chr(10) || chr(10) || q when cur = '' and length(q) <= 3896 then q else substring(q, k * 3896 + 1) end,
+  case when q <> '' and (case when cur = '' then 0 else length(cur) + 2 end) + length(q) <= 3896 then done else list_concat(done, case when cur = '' then [] else [cur] end, list_transform(range(k), lambda m: substring(q, m * 3896 + 1, 3896))) end
+  from (select doc_id, ps, i, cur, done, ps[i] q, greatest(0, (length(ps[i]) + 3895) // 3896 - 1) k from r where i <= len(ps))),
+ f as (select doc_id, list_filter(list_transform(case when cur = '' then done else list_append(done, cur) end, lambda q: QSTRIP), lambda q: q <> '') parts from r where i > len(ps))
+ select doc_id, len(parts) n_parts, md5(array_to_string(parts, '|')) digest from f""".replace("QSTRIP", STRIP.format("q"))
 
 CATALOGUE = {
     "sanitize_text": (on_docs(lambda c: T.sanitized(c)), "select doc_id, left(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: left(x, 10000)), chr(10)), 400000) as value from documents"),
@@ -213,22 +268,25 @@ CATALOGUE = {
     "ru_regex_rules": (on_rows(["А В Т О", "«текст» ===", "( да )"], T.regex_cleaned), literal(["АВТО", "текст ", "(да)"])),
     "ru_legal": (on_rows(["2025 r. N° 5"], T.legal_fixed), literal(["2025 г. N° 5"])),
     "ru_cyrillic_only": (on_rows(["Abc text ."], T.cyrillic_only), literal(["Ас техт."])),
-    "ru_mixed_words": (on_rows(["Дoм and hoуse"], T.mixed_repaired), literal(["Дом and ноусе".replace("се", "sе")])),
+    "ru_mixed_words": (on_rows(["Дoм and hoуse", "Дoм30 дом3x 30"], T.mixed_repaired), literal(["Дом and ноусе".replace("се", "sе"), "Дом30 дом3x 30"])),
     "ru_postprocess": (on_rows(["ДOГОВОР  - 3аказ"], T.ru_ocr_postprocess), literal(["ДОГОВОР- Заказ"])),
     "ru_caps_heading": (on_rows(["ДОГОВОР", "Договор", "АБ"], T.is_caps_heading), literal([True, False, False], kind="boolean")),
     "sentence_split": (_digest(A.sentences), f"with x as (select doc_id, {SENT} p from documents) select doc_id, len(p) n_parts, md5(array_to_string(p, '|')) digest from x"),
     "paragraph_split": (_digest(A.paragraphs), f"with x as (select doc_id, {PARA} p from documents) select doc_id, len(p) n_parts, md5(array_to_string(p, '|')) digest from x"),
     "jaccard_pairs": (jaccard_pairs, f"with x as (select doc_id, {WORDS.format('text')} w from documents) select a.doc_id, round(case when len(a.w) = 0 or len(b.w) = 0 then 0 else len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) end, 6) jaccard from x a join x b on b.doc_id = a.doc_id + 1"),
-    "section_find": (section_find, "with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 n, len(string_split(text, chr(10))) c from documents), h as (select * from l where regexp_full_match(line, '[A-Z][a-z ]{2,40}\\.')) select doc_id, cast(row_number() over w as int) section, cast(n as int) start_line, cast(coalesce(lead(n) over w, c) as int) end_line from h window w as (partition by doc_id order by n)"),
-    "section_chunks": (section_chunks, f"with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) n from documents), s as (select *, sum(case when regexp_full_match(line, '[A-Z][a-z ]{{2,40}}\\.') then 1 else 0 end) over (partition by doc_id order by n) section from l), g as (select doc_id, section::bigint section, string_agg(line, chr(10) order by n) text from s group by all) select doc_id, section, md5(text) digest from g where {STRIP.format('text')} <> ''"),
+    "section_find": (section_find, SECTION_FIND),
+    "section_chunks": (section_chunks, SECTION_CHUNKS + "select doc_id, cast(row_number() over (partition by doc_id order by n, s) - 1 as int) chunk_idx, title section_title_raw, number section_number, cast(i as int) chunk_index_in_section, md5(chunk) digest from every"),
     "window_chunks": (window_chunks, WINDOWS),
     "pack_paragraphs": (_digest(lambda c: C.packed(F.split(c, "\n"), 600)), PACK.format(parts="string_split(text, chr(10))", g=2, n=600, glue="chr(10) || chr(10)")),
     "pack_sentences": (_digest(lambda c: C.packed(A.sentences(c), 400, " ")), PACK.format(parts=SENT, g=1, n=400, glue="' '")),
-    "message_split": (message_split, None),
-    "chunk_overlap": (chunk_overlap, f"with x as (select doc_id, {SENT}[1:20] p from documents), u as (select doc_id, unnest(p) c, generate_subscripts(p, 1) - 1 k from x) select doc_id, cast(k as int) chunk_idx, coalesce(right(lag(c) over (partition by doc_id order by k), 10), '') || c as chunk from u"),
+    "message_split": (message_split, MESSAGES),
+    "chunk_overlap": (chunk_overlap, f"with x as (select doc_id, {SENT} p from documents), u as (select doc_id, unnest(p) c, generate_subscripts(p, 1) - 1 k from x) select doc_id, cast(k as int) chunk_idx, coalesce(right(lag(c) over (partition by doc_id order by k), 10), '') || c as chunk from u"),
     "smart_split": (smart_split, None),
+    "heading_split": (heading_split, None),
+    "jaccard_near_dup": (jaccard_near_dup, None),
+    "chunk_cap": (chunk_cap, f"select doc_id, least(300, len({SENT})) n from documents where len({SENT}) > 0"),
     "adaptive_chunks": (adaptive_chunks, None),
-    "index_counts": (index_counts, None),
+    "index_counts": (index_counts, SECTION_COUNTS + "select d.doc_id, cast(least(300, count(e.doc_id)) as int) added from documents d left join every e on e.doc_id = d.doc_id group by d.doc_id"),
     "canonical_titles": (canonical_titles, "select * from (values ('Payment.', 'payment'), ('The term of it', 'term'), ('price', 'payment'), ('other', null)) t(title, canon)"),
     "pair_batches": (pair_batches, "with x as (select conv_id, count(*) n from conversations group by 1) select conv_id, array_to_string(list_transform(range(n), lambda i: (i // 2)::varchar), ',') batches from x"),
     "diff_pairs": (diff_pairs, "select id::bigint id, n, tag, original, recognized from (values (1, 0, 'replace', 'B.', 'X.'), (1, 1, 'insert', '', 'D.'), (3, 0, 'insert', '', 'New.')) t(id, n, tag, original, recognized)"),
@@ -244,7 +302,7 @@ CATALOGUE = {
     "usage_running": (usage_running, "select event_id, cast(row_number() over (partition by user_id, ts::date order by ts, event_id) as int) n from events"),
     "ttl_dedup": (ttl_dedup, "with recursive e as (select event_id, user_id, epoch(ts) t, row_number() over (partition by user_id order by ts, event_id) k from events), r as (select event_id, user_id, k, t last, true accepted from e where k = 1 union all select e.event_id, e.user_id, e.k, case when e.t - r.last > 86400 then e.t else r.last end, e.t - r.last > 86400 from r join e on e.user_id = r.user_id and e.k = r.k + 1) select event_id, accepted from r"),
     "mode_route": (lambda s, d: t(s, d, "events").select("event_id", P.routed(F.when(F.col("event_id") % 3 == 0, "ai").when(F.col("event_id") % 3 == 1, "tm")).alias("route")), "select event_id, case event_id % 3 when 0 then 'chat' when 1 then 'rows' else 'index' end route from events"),
-    "json_extract": (json_extract, "select * from (values (0, 'a', 'b'), (1, 'c', 'd'), (1, 'e', 'f'), (2, 'g', 'h'), (3, 'i', 'j')) t(id, original, recognized)"),
+    "json_extract": (json_extract, "select * from (values (0, 'k', 'l'), (0, 'm', 'n'), (1, 'a', 'b'), (2, 'c', 'd'), (2, 'e', 'f'), (3, 'g', 'h'), (4, 'i', 'j')) t(id, original, recognized)"),
     "registry_upsert": (registry_upsert, "select sha256(text) hash, arg_max(source, doc_id) fname, max(doc_id) as time, string_agg(doc_id::varchar, ',' order by doc_id) chunks from documents group by 1"),
     "delete_document": (lambda s, d: P.without(t(s, d, "documents").select("doc_id", "lang"), t(s, d, "labels").filter("toxic = 1")), "select doc_id, lang from documents where doc_id not in (select doc_id from labels where toxic = 1)"),
     "anti_join_known": (lambda s, d: P.without(P.first_seen(t(s, d, "documents")), P.first_seen(t(s, d, "documents").filter("doc_id % 2 = 0")), "hash").select("hash", "doc_id"), "select sha256(text) hash, min(doc_id) doc_id from documents group by 1 having count(*) filter (where doc_id % 2 = 0) = 0"),
