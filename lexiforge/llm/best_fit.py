@@ -154,7 +154,7 @@ def placed(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOC
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """cut_documents(), written: the texts are encoded once."""
-    return written(cut_documents(docs, tokenizer_path, end_id, capacity), "pieces", compression="zstd")
+    return written(cut_documents(docs, tokenizer_path, end_id, capacity), "pieces")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:

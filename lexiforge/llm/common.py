@@ -48,7 +48,7 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df, written once as a table in the shared folder and read back: later stages don't recompute it when executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
@@ -60,7 +60,7 @@ def written_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
 
     Buckets are known to tables alone, so it is an external one of a unique name in the session's catalog."""
     spark, own = df.sparkSession, f"lexiforge_{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{own}").saveAsTable(own)
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/{own}").saveAsTable(own)
     return spark.table(own)
 
 
