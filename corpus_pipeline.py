@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, toxicity, near duplicates, packing. Each stage reads what the one before kept."""
+"""The corpus pipeline: quality rules, toxicity, near duplicates, packing. Each stage reads what the one before kept.
+
+Defined results, of every stage: an empty table gives no rows; a null text counts as an empty one, and null hosts are one host; rows
+are judged each for itself, also with equal or null doc_id; extra columns stay as they are, whatever their names, in all
+stages but the last, whose columns are those of op9."""
 
 from __future__ import annotations
 
@@ -10,28 +14,28 @@ from lexiforge.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, and so do boilerplate lines of the others."""
+    """Rejected documents go (those of few words, null and empty texts among them, and depleted ones), and so do boilerplate lines of the others."""
     return line_quality.apply_quality(docs)
 
 
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go. Labels that are null or of no document are left out; without labels of both kinds none goes."""
     return toxicity.keep_harmless(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that of the smallest doc_id (null last); rows equal in id and text are one."""
     return ngram_join.keep_one(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens, packed into sequences."""
+    """The documents' tokens, packed into sequences; long documents in pieces."""
     return best_fit.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=1)
 
 
 STAGES = [("quality_rules", quality), ("toxicity", harmless), ("ngram_join", one_of_each), ("packing", packed)]
 
-#: SQL can't express the second stage's model nor the last one's search; tests hold the stages against brute force.
+#: SQL can't express the second stage's model nor the last one's search; tests/llm hold run() and its stages against brute force.
 ORACLE_SQL = None
 
 

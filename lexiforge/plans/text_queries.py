@@ -86,11 +86,15 @@ def chunk_cap(s, d):
 
 
 def jaccard_near_dup(s, d):
-    """J6 on the adaptive chunker's units: the lines of each document, without those near an earlier line of it."""
+    """Of the lines of each document those that aren't near an earlier line of it."""
+    import pandas as pd
     from pyspark.sql.types import ArrayType, StringType
 
-    keep = F.pandas_udf(lambda rows: rows.map(lambda x: C.without_near(list(x), 0.5)), ArrayType(StringType()), functionType=200)
-    return t(s, d, "documents").select("doc_id", F.size(keep(F.split("text", "\n"))).alias("kept"))
+    @F.pandas_udf(ArrayType(StringType()))
+    def kept(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: C.without_near(list(x), 0.5))
+
+    return t(s, d, "documents").select("doc_id", F.size(kept(F.split("text", "\n"))).alias("kept"))
 
 
 def window_chunks(s, d):
@@ -203,6 +207,21 @@ def index_counts(s, d):
     return x.select("doc_id").join(rows, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("int").alias("added"))
 
 
+def ingest_counts(s, d):
+    """M1/M11 end to end: documents come in two batches that share texts; what the store holds in the end."""
+    from uuid import uuid4
+
+    from lexiforge.operators import ingest
+    from lexiforge.sources.store import shared_dir
+
+    x = t(s, d, "documents").select(F.sha2("text", 256).alias("hash"), F.format_string("%019d", "doc_id").alias("fname"), "text", "doc_id")
+    store = ingest.Store(s, f"{shared_dir(s)}/ingest-{uuid4().hex}")
+    ingest.index_documents(store, x.filter("doc_id % 2 = 0"), 1)
+    ingest.index_documents(store, x, 2)
+    counted = store.chunks().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    return store.registry().join(counted, "hash", "left").select("hash", "time", F.coalesce("n", F.lit(0)).cast("int").alias("added"))
+
+
 def message_split(s, d):
     return _digest(lambda c: C.messages(c))(s, d)
 
@@ -287,6 +306,7 @@ CATALOGUE = {
     "chunk_cap": (chunk_cap, f"select doc_id, least(300, len({SENT})) n from documents where len({SENT}) > 0"),
     "adaptive_chunks": (adaptive_chunks, None),
     "index_counts": (index_counts, SECTION_COUNTS + "select d.doc_id, cast(least(300, count(e.doc_id)) as int) added from documents d left join every e on e.doc_id = d.doc_id group by d.doc_id"),
+    "ingest_counts": (ingest_counts, SECTION_COUNTS + "select sha256(d.text) hash, cast(case when bool_or(d.doc_id % 2 = 0) then 1 else 2 end as bigint) as time, cast(any_value(least(300, c.n)) as int) added from documents d join (select d2.doc_id, count(e.doc_id) n from documents d2 left join every e on e.doc_id = d2.doc_id group by 1) c on c.doc_id = d.doc_id group by 1"),
     "canonical_titles": (canonical_titles, "select * from (values ('Payment.', 'payment'), ('The term of it', 'term'), ('price', 'payment'), ('other', null)) t(title, canon)"),
     "pair_batches": (pair_batches, "with x as (select conv_id, count(*) n from conversations group by 1) select conv_id, array_to_string(list_transform(range(n), lambda i: (i // 2)::varchar), ',') batches from x"),
     "diff_pairs": (diff_pairs, "select id::bigint id, n, tag, original, recognized from (values (1, 0, 'replace', 'B.', 'X.'), (1, 1, 'insert', '', 'D.'), (3, 0, 'insert', '', 'New.')) t(id, n, tag, original, recognized)"),
