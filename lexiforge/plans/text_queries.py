@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from lexiforge.functions import analysis as A
 from lexiforge.functions import text as T
@@ -87,9 +89,6 @@ def chunk_cap(s, d):
 
 def jaccard_near_dup(s, d):
     """Of the lines of each document those that aren't near an earlier line of it."""
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, StringType
-
     @F.pandas_udf(ArrayType(StringType()))
     def kept(rows: pd.Series) -> pd.Series:
         return rows.map(lambda x: C.without_near(list(x), 0.5))
