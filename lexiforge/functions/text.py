@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -52,6 +53,22 @@ def sanitized(c: Column, line_chars: int = 10_000, max_chars: int = 400_000) ->
     return F.left(F.array_join(F.transform(F.split(t, "\n"), lambda x: F.left(x, F.lit(line_chars))), "\n"), F.lit(max_chars))
 
 
+def index_text(c: Column, line_chars: int = 10_000, max_chars: int = 400_000) -> Column:
+    """N1 whole, in one step: as NFKC leaves the JVM anyway, the rest goes along, and what reads the result never computes it again."""
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str:
+            t = t or ""
+            t = t if t.isascii() else unicodedata.normalize("NFKC", t)
+            t = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ", t)))
+            return "\n".join([line[:line_chars] for line in t.split("\n")])[:max_chars]
+
+        return texts.map(one)
+
+    return run(c)
+
+
 def normalized(c: Column) -> Column:
     """N2."""
     return strip(replaced(c, (r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")))

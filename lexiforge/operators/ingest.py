@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions import text as T
 from lexiforge.operators import chunking, records, retrieval
 from lexiforge.operators.providers import embedded, hashed_embedding
+from lexiforge.sources.store import shared_dir, stored
 
 CHUNKS = "chunk_id long, hash string, doc_name string, chunk_idx int, section_title_raw string, section_number string, chunk_index_in_section int, text string"
 VECTORS = "chunk_id long, embedding array<float>"
@@ -63,8 +64,11 @@ class Store:
 
 
 def document_chunks(docs: DataFrame, cap: int = MOST_CHUNKS) -> DataFrame:
-    """M1 up to the embedding: hash, doc_name, chunk_idx, section metadata and text, for docs (hash, fname, text)."""
-    clean = docs.select(F.struct("hash", "fname").alias("doc_id"), T.sanitized(T.nfkc(F.coalesce("text", F.lit("")))).alias("text"))
+    """M1 up to the embedding: hash, doc_name, chunk_idx, section metadata and text, for docs (hash, fname, text).
+
+    The sanitised texts are stored on the way: with their function in the plan, sections would be computed again for each chunk."""
+    clean = docs.select(F.struct("hash", "fname").alias("doc_id"), T.index_text(F.col("text")).alias("text"))
+    clean = stored(clean, f"{shared_dir(docs.sparkSession)}/sanitised-{uuid.uuid4().hex}")
     rows = chunking.section_chunks(clean, cap=cap)
     return rows.select("doc_id.hash", F.col("doc_id.fname").alias("doc_name"), "chunk_idx", "section_title_raw", "section_number", "chunk_index_in_section", F.col("chunk").alias("text"))
 

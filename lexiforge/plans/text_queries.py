@@ -201,9 +201,11 @@ def json_extract(s, d):
 
 def index_counts(s, d):
     """M1: sanitised, sectioned (C4; sentences where no header stands), each section windowed, capped: chunks added by document."""
-    x = t(s, d, "documents").select("doc_id", T.sanitized(T.nfkc(F.col("text"))).alias("text"))
-    rows = C.section_chunks(x, cap=300).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return x.select("doc_id").join(rows, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("int").alias("added"))
+    from lexiforge.operators import ingest
+
+    x = t(s, d, "documents").select(F.col("doc_id").cast("string").alias("hash"), F.lit("").alias("fname"), "text")
+    rows = ingest.document_chunks(x).groupBy(F.col("hash").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    return t(s, d, "documents").select("doc_id").join(rows, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("int").alias("added"))
 
 
 def ingest_counts(s, d):
