@@ -88,15 +88,15 @@ def ttl_accepted(events: DataFrame, key: str, ttl_seconds: float) -> DataFrame:
     rows = events.select(key, F.col("ts").cast("timestamp").cast("double").alias("t"), "event_id")
     rows = rows.withColumn("first", F.coalesce((F.col("t") - F.lag("t").over(order) > ttl_seconds).cast("int"), F.lit(1))).withColumn("stretch", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
-    def accept(group, frame):
-        last, kept = None, []
-        for t in frame.sort_values(["t", "event_id"])["t"].tolist():
-            ok = last is None or t - last > ttl_seconds
-            last = t if ok else last
-            kept.append(ok)
-        return frame.sort_values(["t", "event_id"])[[key, "event_id"]].assign(accepted=kept)
+    times = rows.groupBy(key, "stretch").agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("x"))
+    id_type = dict(events.dtypes)["event_id"]
+    state = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(f"array<struct<event_id:{id_type},accepted:boolean>>").alias("out"))
+
+    def step(s: Column, e: Column) -> Column:
+        ok = s["last"].isNull() | (e["t"] - s["last"] > ttl_seconds)
+        return F.struct(F.when(ok, e["t"]).otherwise(s["last"]).alias("last"), F.concat(s["out"], F.array(F.struct(e["event_id"].alias("event_id"), ok.alias("accepted")))).alias("out"))
 
-    return rows.groupBy(key, "stretch").applyInPandas(lambda group, frame: accept(group, frame), f"{key} {dict(events.dtypes)[key]}, event_id {dict(events.dtypes)['event_id']}, accepted boolean")
+    return times.select(key, F.inline(F.aggregate("x", state, step)["out"]))
 
 
 def finished(starts: DataFrame, ends: DataFrame, key: str, ttl_seconds: float) -> DataFrame:
