@@ -104,13 +104,13 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
     """Pieces of the encoded documents: only documents over the capacity are cut."""
 
     def cut(batches):
-        packed, end = codec(tokenizer_path, TABLE).packed, np.array([end_id], "<u4").tobytes()
+        packed, end = codec(tokenizer_path, TABLE).packed_all, np.array([end_id], "<u4").tobytes()
         ordinal = TaskContext.get().partitionId() << 40
         step = 4 * capacity
         for b in batches:
             out = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = memoryview(packed(text) + end)
+            for doc_id, ids in zip(b.column(0).to_pylist(), packed(b.column(1).to_pylist())):
+                ids = memoryview(ids + end)
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     out.append((doc_id, piece, at // 4, len(part) // 4, bytes(part), ordinal))

@@ -207,8 +207,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, blo
             return pa.RecordBatch.from_pylist([row], BLOCK_ARROW)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                packed = own.packed(text) + end
+            for doc_id, packed in zip(b.column(0).to_pylist(), own.packed_all(b.column(1).to_pylist())):
+                packed += end
                 ids.append(doc_id)
                 parts.append(packed)
                 size += len(packed) // 4

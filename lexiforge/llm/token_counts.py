@@ -58,9 +58,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     misses = texts.join(known.select("content_digest"), "content_digest", "left_anti")
 
     def count(batches):
-        packed = codec(tokenizer_path).packed
+        packed = codec(tokenizer_path).packed_all
         for b in batches:
-            n = [len(packed(t)) // 4 for t in b.column(1).to_pylist()]
+            n = [len(ids) // 4 for ids in packed(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array([version] * len(n), pa.string())], ["content_digest", "n_tokens", "tokenizer_digest"])
 
     misses.mapInArrow(count, CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)

@@ -1,5 +1,6 @@
 """The corpus operators against the libraries and brute force, on rows with nulls, copies, extremes and extra columns."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -40,6 +41,26 @@ def test_codec_equals_the_library():
             assert np.frombuffer(own.packed(t), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_codec_on_random_texts():
+    """Blanks, quotes, numbers and odd characters in every order, in groups, one by one, and from a table that is always full."""
+    pick = random.Random(5)
+    parts = ["a", "b", "'s", "'ll", "'", " ", " ", "\n", "\n\n\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\0", "1", "23", "²", "é", "À", "ß", ".", "...", "the", "ING", "ſ", "中", "<|endoftext|>", "  ", "x" * 17, "y" * 70]
+    texts = ["".join(pick.choices(parts, k=pick.randint(0, 30))) for _ in range(5000)] + [None] + ["".join(pick.choices(parts[:6] + ["the"], k=12)) for _ in range(5000)]
+    texts.append(" ".join(f"w{k * k}" for k in range(150_000)))  # more words than are looked up at once
+    for path in (WORDS, BYTES):
+        library = Tokenizer.from_file(path)
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        for entries in (50, 600_000):
+            own = TokenCodec(path, entries)
+            assert own.merges is not None
+            assert [np.frombuffer(ids, "<u4").tolist() for ids in own.packed_all(texts)] == want
+            assert [np.frombuffer(own.packed(t), "<u4").tolist() for t in texts[:200]] == want[:200]
+        own.merges = None  # as for a model that Merges doesn't know
+        own.fine.used = own.fine.entries
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in own.packed_all(texts[:500])] == want[:500]
+    assert list(own.packed_all([])) == []
+
+
 def test_token_counts(docs, empty, tmp_path):
     library, cache = Tokenizer.from_file(WORDS), str(tmp_path / "cache")
     want = Counter((k, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for k, t in [*enumerate(TEXTS), (4, BASE), (None, "no id")])
