@@ -115,6 +115,19 @@ def finished(starts: DataFrame, ends: DataFrame, key: str, ttl_seconds: float) -
     return both.groupBy(key).applyInPandas(lambda group, frame: accept(group, frame), f"{key} {dict(starts.dtypes)[key]}, event_id long, accepted boolean")
 
 
+def sessions(actions: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """M9: the mode of each key (its last 'mode' action's value; null before the first), and the documents of its session: those added after
+    its last 'clear', in order, each by its last adding. actions: key, at (a number or time that orders them), action ('mode', 'add' or 'clear'), value.
+
+    At equal times a clear comes first. Both are aggregates that combine before the shuffle; documents stay rows, however many a session has."""
+    mode = actions.groupBy(key).agg(F.max_by("value", F.when(F.col("action") == "mode", F.struct("at", "value"))).alias("mode"))
+    cleared = actions.filter("action = 'clear'").groupBy(key).agg(F.max("at").alias("cleared"))
+    added = actions.filter("action = 'add'").groupBy(key, "value").agg(F.max("at").alias("at"))
+    # Keys are compared null-safe: a null key is one session, as in the aggregates.
+    own = added.alias("a").join(cleared.alias("c"), F.col(f"a.{key}").eqNullSafe(F.col(f"c.{key}")), "left").filter("cleared is null or a.at >= cleared")
+    return mode, own.select(f"a.{key}", F.col("a.value").alias("doc"), "a.at")
+
+
 def registry_upsert(registry: DataFrame, new: DataFrame) -> DataFrame:
     """By hash, the latest name and time, and the sorted union of chunk ids."""
     both = registry.unionByName(new)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable
@@ -80,6 +82,79 @@ def sheet(spark: SparkSession, candidates: list[str], width: int = 10) -> DataFr
     return spark.createDataFrame([], "row_no long, cells array<string>")
 
 
+def fetched_sheet(spark: SparkSession, urls: list[str], fetch: Callable[[str], tuple[int, bytes]]) -> DataFrame:
+    """row_no, cells of the first address whose answer (fetch: address to status and content) is 200 and a CSV with a filled cell; raises if none is.
+
+    A sheet is read by the driver whole, as the service sends it; rows keep their own number of cells, the header included (row 0)."""
+    failure = "no address"
+    for url in urls:
+        try:
+            status, content = fetch(url)
+            rows = list(csv.reader(io.StringIO(content.decode("utf-8", "replace"), newline="")))
+        except Exception as e:  # noqa: BLE001  the next address may do
+            failure = f"{url}: {type(e).__name__}: {e}"
+            continue
+        # One line without a separator is a message rather than a table.
+        table = len(rows) > 1 or any(len(r) > 1 or ";" in r[0] or content.endswith(b"\n") for r in rows if r)
+        if status == 200 and table and any(c.strip() for r in rows for c in r):
+            return spark.createDataFrame(list(enumerate(rows)), "row_no long, cells array<string>")
+        failure = f"{url}: status {status}, {len(rows)} rows"
+    raise ValueError(f"no sheet: {failure}")
+
+
+_PACKAGE = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
+}
+#: Characters that XML can't hold.
+_UNWRITABLE = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+
+
+def docx_bytes(body: str | None, title: str | None = None, pairs: list[tuple[str, str]] | None = None) -> bytes:
+    """A DOCX file with a heading, a paragraph for each line of body, and a table of pairs, whose second side is marked yellow.
+
+    Null and empty texts are empty paragraphs or cells; characters that XML can't hold are left out."""
+    root = ET.Element(f"{_W}document")
+    out = ET.SubElement(root, f"{_W}body")
+
+    def paragraph(under: ET.Element, text: str | None, style: str = "", color: str = "") -> None:
+        p = ET.SubElement(under, f"{_W}p")
+        if style:
+            ET.SubElement(ET.SubElement(p, f"{_W}pPr"), f"{_W}pStyle", {f"{_W}val": style})
+        run = ET.SubElement(p, f"{_W}r")
+        if color:
+            ET.SubElement(ET.SubElement(run, f"{_W}rPr"), f"{_W}highlight", {f"{_W}val": color})
+        ET.SubElement(run, f"{_W}t", {"{http://www.w3.org/XML/1998/namespace}space": "preserve"}).text = _UNWRITABLE.sub("", text or "")
+
+    if title is not None:
+        paragraph(out, title, "Heading1")
+    for line in (body or "").split("\n"):
+        paragraph(out, line)
+    if pairs:
+        table = ET.SubElement(out, f"{_W}tbl")
+        for pair in pairs:
+            row = ET.SubElement(table, f"{_W}tr")
+            for text, color in zip(pair, ("", "yellow")):
+                paragraph(ET.SubElement(row, f"{_W}tc"), text, color=color)
+        paragraph(out, "")
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in _PACKAGE.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+        z.writestr("word/document.xml", ET.tostring(root, encoding="utf-8", xml_declaration=True))
+    return held.getvalue()
+
+
+def docx_reports(rows: DataFrame, key: str) -> DataFrame:
+    """Key and docx (binary) of each row's title and body; workers render them, and any sink stores the column."""
+
+    @F.pandas_udf("binary")
+    def render(title: pd.Series, body: pd.Series) -> pd.Series:
+        return pd.Series([docx_bytes(b, t) for t, b in zip(title, body)], dtype=object)
+
+    return rows.select(key, render("title", "body").alias("docx"))
+
+
 def write_pairs(pairs: DataFrame, path: str) -> None:
     """A header and tab-separated pairs; tabs inside become blanks."""
     pairs.select(*[F.regexp_replace(c, r"[\t\r\n]", " ").alias(c) for c in ("original", "recognized")]).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)

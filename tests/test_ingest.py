@@ -7,6 +7,7 @@ from lexiforge.functions import text as T
 from lexiforge.operators import chunking as C
 from lexiforge.operators import ingest, records
 from lexiforge.plans.text_queries import CONTRACT
+from lexiforge.sources import readers
 
 
 def test_store(spark, tmp_path):
@@ -94,3 +95,34 @@ def test_finished_jobs_suppress_nothing(spark):
 def test_compare_last_two(spark):
     docs = spark.createDataFrame([("s", 1, "Old."), ("s", 2, "A. B. C."), ("s", 3, "a. X. C. D."), ("t", 1, "Alone.")], "session string, doc_id long, text string")
     assert {(r["original"], r["recognized"]) for r in ingest.compare_last(docs, "session", "doc_id").collect()} == {("B.", "X."), ("", "D.")}
+
+
+def test_fetched_sheet(spark):
+    answers = {"a": (404, b"x,y\n"), "b": (200, b"sign in"), "c": (200, b" , \n,\n"), "d": (200, "h1,h2\n\"a,\nb\",ж\nonly\n".encode())}
+
+    def fetch(url):
+        return answers[url]
+
+    got = readers.fetched_sheet(spark, ["missing", *"abcd"], fetch).orderBy("row_no").collect()
+    assert [(r["row_no"], r["cells"]) for r in got] == [(0, ["h1", "h2"]), (1, ["a,\nb", "ж"]), (2, ["only"])]
+    for urls in ([], ["a", "b", "missing"]):
+        with pytest.raises(ValueError):
+            readers.fetched_sheet(spark, urls, fetch)
+
+
+def test_docx_reports(spark):
+    rows = spark.createDataFrame([(1, "Title <1>", "one & two\n\n  three\x00"), (2, None, None)], "id long, title string, body string")
+    got = {r["id"]: readers.docx_text(bytes(r["docx"])) for r in readers.docx_reports(rows, "id").collect()}
+    assert got == {1: "Title <1>\none & two\n  three", 2: ""}
+    import zipfile
+    from io import BytesIO
+
+    xml = zipfile.ZipFile(BytesIO(readers.docx_bytes("x", "t", [("old", "new"), ("", None)]))).read("word/document.xml").decode()
+    assert xml.count(":tr>") == 4 and xml.count(":highlight ") == 2 and xml.index("old") < xml.index("highlight") < xml.index("new")
+
+
+def test_sessions(spark):
+    rows = [(1, 1, "mode", "work"), (1, 2, "add", "a"), (1, 3, "clear", None), (1, 3, "add", "b"), (1, 4, "add", "c"), (1, 5, "add", "b"), (1, 6, "mode", "ai"), (2, 1, "add", "a"), (None, 1, "add", "x"), (None, 2, "clear", None), (3, 1, "mode", "tm")]
+    mode, docs = records.sessions(spark.createDataFrame(rows, "user_id long, at long, action string, value string"), "user_id")
+    assert {r["user_id"]: r["mode"] for r in mode.collect()} == {1: "ai", 2: None, None: None, 3: "tm"}
+    assert {tuple(r) for r in docs.collect()} == {(1, "b", 5), (1, "c", 4), (2, "a", 1)}
