@@ -29,6 +29,13 @@ def test_store(spark, tmp_path):
     assert "kittens" in spark.read.text(str(tmp_path / "dump")).first()[0]
 
 
+def test_numbers_without_holes_however_partitions_are_merged(spark, tmp_path):
+    spark.range(2000).select(F.format_string("%05d", "id").alias("hash"), F.lit(0).alias("chunk_idx"), F.concat(*[F.sha2(F.concat("id", F.lit(f"-{n}")), 256) for n in range(20)]).alias("text")).write.parquet(str(tmp_path / "cut"))
+    ingest._numbered(spark.read.parquet(str(tmp_path / "cut")), 7, str(tmp_path / "ordered")).write.parquet(str(tmp_path / "numbered"))  # texts make it more partitions than a count has
+    rows = spark.read.parquet(str(tmp_path / "numbered")).collect()
+    assert sorted((r["hash"], r["chunk_id"] - 7) for r in rows) == [(f"{n:05d}", n) for n in range(2000)]
+
+
 def test_strict_and_compat_sections(spark):
     docs = spark.createDataFrame([(1, CONTRACT), (2, "Стоимость услуг составляет 120..\nтекст"), (3, ""), (4, None)], "doc_id long, text string")
     strict = C.find_sections(docs.filter("doc_id = 1")).orderBy("section").collect()
