@@ -1,11 +1,13 @@
 """Toxic passages by maximum-scoring segments.
 
-Token log-odds between toxic and other labelled documents, with a Dirichlet prior drawn from both together, score
-every token; tokens without significant evidence cost a little. A linear-time scan (Ruzzo and Tompa) finds all
-maximal scoring segments of a text. Scores of the best segment of clean texts follow an extreme-value law, whose
-scale solves E[exp(lambda * s)] = 1 over clean tokens and whose offset is fitted; a segment's significance under it,
-and those of all significant segments together, are calibrated to a probability on labelled rows held back from the
-counts.
+Words and their first letters (4 to 6) have log-odds between toxic and other labelled documents, with a Dirichlet prior drawn
+from both together; a token's score is its strongest part's, and tokens without significant evidence cost a little. A linear-time scan
+(Ruzzo and Tompa) finds all maximal scoring segments of a text. Scores of the best segment of clean texts follow an extreme-value
+law, whose scale solves E[exp(lambda * s)] = 1 over clean tokens and whose offset is fitted; a segment's significance under it,
+that of all significant segments together and the share of evidence in the text are calibrated to a probability.
+
+There are three models, each counted on two thirds of the labelled rows and measured on the last one, so that all rows serve for
+both; a text's measures are the means of theirs. No measure counts against toxicity.
 
 The classifier is fitted on at most MAX_LABELS labelled rows (those of smallest hash); tokens are hashed to BUCKETS, so the
 model has a fixed size. Every text is scored whole.
@@ -18,7 +20,9 @@ several labels of a document the toxic one holds; extra columns are left out.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +31,31 @@ from pyspark.sql import functions as F
 
 from .common import fold, lower_ascii
 
-BUCKETS, MAX_LABELS, PRIOR, COST, SIGNIFICANT, THRESHOLD = 1 << 18, 30_000, 10.0, 0.3, 3.5, 0.3
+BUCKETS, MAX_LABELS, PRIOR, COST, SIGNIFICANT, THRESHOLD = 1 << 18, 30_000, 10.0, 0.3, 3.0, 0.3
+#: Models, and the lengths of the beginnings of words that count beside the words.
+MODELS, BEGINNINGS = 3, (4, 5, 6)
+#: Tokens that are looked up at once.
+SLICE = 1 << 16
 #: A passage is significant if so many such are expected in a clean text of its length, at most.
 EXPECTED = 0.05
+#: So many clean texts have no more evidence by length than what counts as none.
+USUAL = 0.9
 #: Longer tokens are hashed each time, so that the table of hashes is bounded in bytes.
 LONGEST_KEPT = 64
 TOKEN = re.compile(r"[^\W\d_]+").findall
 
 
+_ROW = struct.Struct(f"={1 + len(BEGINNINGS)}i").pack
+
+
 class _Buckets(dict):
-    def __missing__(self, token: str) -> int:
+    """The buckets of a token and of its beginnings, as bytes; a token that has no such beginning has its own bucket there."""
+
+    def __missing__(self, token: str) -> bytes:
         if len(self) > 150_000:
             self.clear()
-        k = zlib.crc32(token.encode()) & (BUCKETS - 1)
+        n, own = len(token), zlib.crc32(token.encode()) & (BUCKETS - 1)
+        k = _ROW(own, *[zlib.crc32(f"^{token[:m]}".encode()) & (BUCKETS - 1) if n > m else own for m in BEGINNINGS])
         if len(token) <= LONGEST_KEPT:
             self[token] = k
         return k
@@ -49,8 +65,8 @@ _bucket = _Buckets()
 
 
 def token_buckets(text: str | None) -> np.ndarray:
-    tokens = TOKEN(lower_ascii(text or ""))
-    return np.fromiter(map(_bucket.__getitem__, tokens), np.int64, len(tokens))
+    """A row a token."""
+    return np.frombuffer(b"".join(map(_bucket.__getitem__, TOKEN(lower_ascii(text or "")))), np.int32).reshape(-1, 1 + len(BEGINNINGS))
 
 
 def token_scores(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int, prior: float = PRIOR) -> np.ndarray:
@@ -82,8 +98,10 @@ def scale_of(scores: np.ndarray, weights: np.ndarray) -> float:
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), in order; only positive tokens are visited."""
-    total = np.concatenate([[0.0], np.cumsum(scores)])
     at = np.flatnonzero(scores > 0)
+    if not len(at):
+        return []
+    total = np.concatenate([[0.0], np.cumsum(scores)])
     found: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total after, nearest earlier one that begins lower
     for k, before, after in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist()):
         start, j = k, len(found) - 1
@@ -99,23 +117,69 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, right - left) for s, e, left, right, _ in found]
 
 
-class Scorer:
-    """The fitted model: scores of the buckets, the law's scale and offset, and the calibration."""
+def by_token(scores: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Scores of tokens: the strongest part's that speaks for toxicity, else the strongest's against it."""
+    own = np.empty((len(buckets), *scores.shape[1:]))
+    for k in range(0, len(buckets), SLICE):
+        x = [scores[part] for part in buckets[k : k + SLICE].T]
+        most = reduce(np.maximum, x)
+        own[k : k + SLICE] = np.where(most > -COST, most, reduce(np.minimum, x))
+    return own
+
 
-    def __init__(self, scores: np.ndarray, scale: float, offset: float = 0.0, weights: tuple[float, ...] = (), rate: float = 0.0):
-        self.scores, self.scale, self.offset, self.weights, self.rate = scores, scale, offset, weights, rate
+class Law:
+    """One model: scores of the buckets, the law's scale and offset, and the share of evidence that most clean texts stay below."""
 
-    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float, float]]]:
-        """The number of tokens, and start, end, score and surprise (-ln of the expected number) of each maximal segment."""
-        own = self.scores[token_buckets(text)]
+    def __init__(self, scores: np.ndarray):
+        self.scores, self.scale, self.offset, self.usual = scores, 1.0, 0.0, 0.0
+
+    def tokens(self, text: str | None) -> np.ndarray:
+        return by_token(self.scores, token_buckets(text))
+
+    def passages(self, own: np.ndarray) -> list[tuple[int, int, float, float]]:
+        """Start, end, score and surprise (-ln of the expected number) of each maximal segment."""
         at = self.offset + np.log(max(len(own), 1))
-        return len(own), [(s, e, x, self.scale * x - at) for s, e, x in segments(own)]
+        return [(s, e, x, self.scale * x - at) for s, e, x in segments(own)]
+
+    def summary(self, own: np.ndarray, found: list) -> tuple[float, float, float]:
+        """Surprise of the best segment, that of all significant ones together, and the share of evidence. What clean texts usually have is no
+        evidence, so texts below it are equal, be they long or short."""
+        usual = -np.log(EXPECTED)
+        rest = sum(x[3] - usual for x in found if x[3] > usual)
+        return max((x[3] for x in found if x[3] > usual), default=usual), np.log1p(rest), max(self.share(own), self.usual)
+
+    @staticmethod
+    def share(own: np.ndarray) -> float:
+        """The evidence for toxicity in a text by its length, as a logarithm."""
+        return float(np.log1p(100 * np.maximum(own + COST, 0).sum() / (len(own) + 50)))
+
+
+class Scorer:
+    """The fitted models and their calibration."""
 
-    def summary(self, n: int, found: list) -> tuple[float, float]:
-        """Surprise of the best segment, and of all significant ones together."""
-        best = max((x[3] for x in found), default=-self.offset - np.log(max(n, 1)))
-        rest = sum(x[3] + np.log(EXPECTED) for x in found if x[3] > -np.log(EXPECTED))
-        return best, np.log1p(rest)
+    def __init__(self, laws: list[Law], weights: tuple[float, ...] = (), rate: float = 0.0):
+        self.laws, self.weights, self.rate = laws, weights, rate
+        self.table = np.stack([law.scores for law in laws], 1)
+
+    @property
+    def scores(self) -> np.ndarray:
+        """The first model's."""
+        return self.laws[0].scores
+
+    def passages(self, text: str | None) -> tuple[list[np.ndarray], list[list[tuple[int, int, float, float]]]]:
+        """The tokens' scores and the maximal segments, by each model."""
+        every = by_token(self.table, token_buckets(text))
+        own = [every[:, k].copy() for k in range(len(self.laws))]
+        return own, [law.passages(x) for law, x in zip(self.laws, own)]
+
+    def summary(self, own: list, found: list) -> tuple[float, ...]:
+        each = [law.summary(x, f) for law, x, f in zip(self.laws, own, found)]
+        return tuple(sum(x) / len(each) for x in zip(*each))
+
+    @staticmethod
+    def significant(found: list) -> list[tuple[int, int, float, float]]:
+        """The significant segments by the model that has the most significant one."""
+        return [x for x in max(found, key=lambda f: max((x[3] for x in f), default=-np.inf)) if x[3] > -np.log(EXPECTED)]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         if not self.weights:
@@ -136,48 +200,86 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(w.tolist())
 
 
+def _rising(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights of a logistic regression in which no measure counts against y: those that would are left out."""
+    keep, falling = list(range(x.shape[1])), True
+    while falling:
+        w = _logistic(x[:, keep], y)
+        falling = [k for k, v in zip(keep, w[1:]) if v < 0]
+        keep = [k for k in keep if k not in falling]
+    own = dict(zip(keep, w[1:]))
+    return (w[0], *(own.get(k, 0.0) for k in range(x.shape[1])))
+
+
+#: Bins of token scores, from the lowest to the highest that token_scores() gives.
+BINS = np.linspace(-2 - COST, 6 - COST, 321)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Scorer:
-    """The model from those labels whose fold isn't 2. What comes to the driver is bounded by BUCKETS and max_labels."""
+    """The models from those labels whose fold isn't 2. What comes to the driver is bounded by BUCKETS and max_labels."""
     known = labels.filter((fold(F.col("doc_id"), 4) != 2) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_labels)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text", F.pmod("h", F.lit(3)).alias("third"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text", F.pmod("h", F.lit(MODELS)).cast("int").alias("third"))
+    each = lambda b: zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
 
     def count(batches):
-        kinds: dict[int, list[list[np.ndarray]]] = {0: [], 1: []}
         for b in batches:
-            for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                kinds[int(toxic > 0)].append(np.unique(token_buckets(text), return_counts=True))
-        for kind, parts in kinds.items():
-            if parts:
-                k, at, docs_with = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True, return_counts=True)
-                n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(k)).astype(np.int64)
+            kinds: dict[tuple[int, int], list[np.ndarray]] = {}
+            for toxic, text, third in each(b):
+                kinds.setdefault((third, int(toxic > 0)), []).append(np.unique(token_buckets(text)))
+            for (third, kind), parts in kinds.items():
+                k, docs_with = np.unique(np.concatenate(parts), return_counts=True)
                 # bucket -1 counts the documents
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k) + 1, kind, np.int32)), pa.array(np.r_[-1, k]), pa.array(np.r_[len(parts), docs_with]), pa.array(np.r_[0, n])], ["toxic", "bucket", "docs", "n"])
-
-    counts = rows.filter("third > 0").mapInArrow(count, "toxic int, bucket long, docs long, n long").groupBy("toxic", "bucket").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).toPandas()
-    kind, bucket = counts["toxic"].to_numpy(), counts["bucket"].to_numpy()
-    with_it, tokens = np.zeros((2, BUCKETS + 1)), np.zeros((2, BUCKETS + 1))
-    with_it[kind, bucket], tokens[kind, bucket] = counts["docs"].to_numpy(), counts["n"].to_numpy()  # -1 is the last one
-    (n_other, n_toxic), with_it, tokens = with_it[:, -1], with_it[:, :-1], tokens[:, :-1]
-    scores = token_scores(with_it[1], with_it[0], n_toxic, n_other)
-    scorer = Scorer(scores, scale_of(scores, tokens[0]))
-
-    def measured(of):
-        def run(batches):
-            for b in batches:
-                x = np.array([of(*scorer.passages(t)) for t in b.column(1).to_pylist()]).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "best", "rest"])
-
-        # Two numbers for each of max_labels / 3 rows or so.
-        return rows.filter("third = 0").mapInArrow(run, "toxic int, best double, rest double").toPandas()
-
-    held = measured(lambda n, found: (scorer.scale * max((x[2] for x in found), default=0.0) - np.log(max(n, 1)), 0.0))
-    y = (held["toxic"].to_numpy() > 0).astype(float)
-    scorer.rate = float(y.mean()) if len(y) else 0.0
+                whole = lambda x: pa.array(np.full(len(k) + 1, x, np.int32))
+                yield pa.RecordBatch.from_arrays([whole(third), whole(kind), pa.array(np.r_[-1, k].astype(np.int32)), pa.array(np.r_[len(parts), docs_with].astype(np.int64))], ["third", "toxic", "bucket", "docs"])
+
+    def packed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.stack([b.column(k).to_numpy() for k in range(4)]).astype(np.int64).tobytes()], pa.binary())], ["x"])
+
+    counts = rows.mapInArrow(count, "third int, toxic int, bucket int, docs long").groupBy("third", "toxic", "bucket").agg(F.sum("docs").alias("docs"))
+    with_it = np.zeros((MODELS, 2, BUCKETS + 1))
+    for r in counts.mapInArrow(packed, "x binary").collect():
+        third, kind, bucket, n = np.frombuffer(r["x"], np.int64).reshape(4, -1)
+        with_it[third, kind, bucket] = n  # -1 is the last one
+    with_it = with_it.sum(0) - with_it  # what the other thirds have
+    laws = [Law(token_scores(x[1, :-1], x[0, :-1], x[1, -1], x[0, -1])) for x in with_it]
+
+    def best(batches):
+        for b in batches:
+            x, bins = [], np.zeros((MODELS, len(BINS)), np.int64)
+            for toxic, text, third in each(b):
+                own = laws[third].tokens(text)
+                x.append((third, toxic, max((v for _, _, v in segments(own)), default=0.0), len(own), Law.share(own)))
+                if toxic <= 0:
+                    bins[third] += np.bincount(np.rint((own - BINS[0]) / (BINS[1] - BINS[0])).astype(np.int64), minlength=len(BINS))
+            x += [(third, None, None, None, None) for third in range(MODELS)]
+            held = [None] * (len(x) - MODELS) + [n.tobytes() for n in bins]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in x], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64()))), pa.array(held, pa.binary())], ["third", "toxic", "best", "n", "share", "bins"])
+
+    def measured(batches):
+        for b in batches:
+            x = []
+            for _, text, third in each(b):
+                own = laws[third].tokens(text)
+                x.append(laws[third].summary(own, laws[third].passages(own)))
+            x = np.array(x).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "best", "rest", "share"])
+
+    # A few numbers for each of max_labels rows.
+    found = rows.mapInArrow(best, "third int, toxic int, best double, n long, share double, bins binary").collect()
+    y = np.array([r["toxic"] > 0 for r in found if r["bins"] is None], float)
+    scorer = Scorer(laws, rate=float(y.mean()) if len(y) else 0.0)
     if len(y) and 0 < y.mean() < 1:
-        scorer.offset = float(held["best"].to_numpy()[y == 0].mean() - np.euler_gamma)  # the standard law has this mean
-        held = measured(scorer.summary)
-        scorer.weights = _logistic(held[["best", "rest"]].to_numpy(), (held["toxic"].to_numpy() > 0).astype(float))
+        for third, law in enumerate(laws):
+            bins = [np.frombuffer(r["bins"], np.int64) for r in found if r["bins"] is not None and r["third"] == third]
+            law.scale = scale_of(BINS, np.sum(bins, axis=0).astype(float))
+            clean = [r for r in found if r["bins"] is None and r["third"] == third and r["toxic"] <= 0]
+            if clean:
+                law.offset = float(np.mean([law.scale * r["best"] - np.log(max(r["n"], 1)) for r in clean]) - np.euler_gamma)  # the standard law has this mean
+                law.usual = float(np.quantile([r["share"] for r in clean], USUAL))
+        held = rows.mapInArrow(measured, "toxic int, best double, rest double, share double").toPandas()
+        scorer.weights = _rising(held[["best", "rest", "share"]].to_numpy(), (held["toxic"].to_numpy() > 0).astype(float))
     return scorer
 
 
@@ -190,10 +292,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, t
         for b in batches:
             x, passages = [], []
             for t in b.column(1).to_pylist():
-                n, found = own.passages(t)
-                x.append(own.summary(n, found))
-                passages.append([{"start": s, "end": e, "score": v} for s, e, v, surprise in found if surprise > -np.log(EXPECTED)])
-            p = own.probability(np.array(x).reshape(-1, 2))
+                scores, found = own.passages(t)
+                x.append(own.summary(scores, found))
+                passages.append([{"start": s, "end": e, "score": v} for s, e, v, _ in own.significant(found)])
+            p = own.probability(np.array(x).reshape(-1, 3))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), pa.array(passages, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))], ["doc_id", "score", "predicted", "passages"])
 
     rows = docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double, predicted int, passages array<struct<start:int,end:int,score:double>>")
@@ -207,7 +309,7 @@ def keep_harmless(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABE
     def keep(batches):
         own = scorer.value
         for b in batches:
-            p = own.probability(np.array([own.summary(*own.passages(t)) for t in b.column(at).to_pylist()]).reshape(-1, 2))
+            p = own.probability(np.array([own.summary(*own.passages(t)) for t in b.column(at).to_pylist()]).reshape(-1, 3))
             yield b.filter(pa.array(p < threshold))
 
     return docs.mapInArrow(keep, docs.schema)

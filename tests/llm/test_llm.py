@@ -227,6 +227,18 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.toxicity(empty, labels).isEmpty()
 
 
+def test_toxicity_ranks_held_out_rows_of_few_labels(spark):
+    """Toxic texts share no whole word, but the beginnings of some; long and short clean texts are equal."""
+    rng = np.random.default_rng(3)
+    word = lambda head="": head + "".join(rng.choice(list("abdeiklmnorstu"), 7))
+    bad = np.arange(160) % 4 == 1
+    rows = [(k, " ".join([word() for _ in range(rng.integers(20, 200))] + [word("grimv") for _ in range(4 * b)])) for k, b in enumerate(bad)]
+    labels = spark.createDataFrame([(k, int(b)) for k, b in enumerate(bad)], "doc_id long, toxic int")
+    got = [r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect() if r["held_out"]]
+    pairs = [(a["score"] > b["score"]) + (a["score"] == b["score"]) / 2 for a in got if bad[a["doc_id"]] for b in got if not bad[b["doc_id"]]]
+    assert len(pairs) > 50 and np.mean(pairs) > 0.95
+
+
 def test_segments_by_brute_force():
     rng = np.random.default_rng(6)
     for _ in range(50):
