@@ -87,3 +87,27 @@ def test_index_counts_by_section(spark, tmp_path):
     want = {1: len(windows(body)), 2: 0, 3: 0, 4: 300}
     assert want[1] > 1
     assert {r["doc_id"]: r["added"] for r in text_queries.index_counts(spark, d).collect()} == want
+
+
+@pytest.mark.parametrize("metric,most", [("l2", 1000), ("l2", 7), ("cosine", 1000), ("cosine", 7)])
+def test_search_makes_no_row_a_pair(spark, monkeypatch, metric, most):
+    """The k nearest in order, with copies, zeros, holes and other dimensions, by tasks that keep k a query; queries in one block and in some."""
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", most)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(400, 5)), 1).astype(np.float32).tolist()
+    x[3], x[7], x[8] = [0.0] * 5, [1.0] * 5, [1e3, 0.0, 0.0, 0.0, 1e-3]
+    x[100:160] = [[1.0] * 5] * 60
+    v = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>")
+    asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = retrieval.knn(v, asked, 6, metric)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    own = {k: np.array(e, np.float64) for k, e in enumerate(x)}
+    size = lambda a: sum(float(c) * float(c) for c in a) ** 0.5 or 1.0
+    for q in range(0, 400, 20):
+        score = {k: sum((a - b) * (a - b) for a, b in zip(e.tolist(), own[q].tolist())) if metric == "l2" else -sum(a * b for a, b in zip(e.tolist(), own[q].tolist())) / (size(e) * size(own[q])) for k, e in own.items()}
+        want = sorted(score, key=lambda k: (score[k], k))[:6]
+        got = sorted((r["rank"], r["vec_id"]) for r in found.filter(F.col("query_id") == q).collect()) if q in (0, 100, 200) else None
+        assert got is None or [k for _, k in got] == want
+    odd = v.union(spark.createDataFrame([(500, [1.0, None, 1.0, 1.0, 1.0]), (501, [1.0]), (502, None), (503, [float("nan")] * 5)], "vec_id long, embedding array<float>"))
+    assert retrieval.knn(odd, asked, 404, metric).count() == 20 * 404
