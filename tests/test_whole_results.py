@@ -111,3 +111,13 @@ def test_search_makes_no_row_a_pair(spark, monkeypatch, metric, most):
         assert got is None or [k for _, k in got] == want
     odd = v.union(spark.createDataFrame([(500, [1.0, None, 1.0, 1.0, 1.0]), (501, [1.0]), (502, None), (503, [float("nan")] * 5)], "vec_id long, embedding array<float>"))
     assert retrieval.knn(odd, asked, 404, metric).count() == 20 * 404
+
+
+def test_terms_are_counted_where_texts_lie(spark):
+    docs = spark.createDataFrame([(1, "Running runs; ran RUNNING договорами акты"), (2, None), (3, "a_b 12 " * 500)], "doc_id long, text string")
+    found = retrieval.term_frequencies(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(1, "runn", 2), (1, "run", 1), (1, "ran", 1), (1, "договор", 1), (1, "акт", 1), (3, "a", 500), (3, "b", 500), (3, "12", 500)}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    twice = {tuple(r) for r in retrieval.term_frequencies(docs.union(docs)).collect()}
+    assert twice == {(k, t, 2 * n) for k, t, n in want}
