@@ -121,3 +121,15 @@ def test_terms_are_counted_where_texts_lie(spark):
     assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
     twice = {tuple(r) for r in retrieval.term_frequencies(docs.union(docs)).collect()}
     assert twice == {(k, t, 2 * n) for k, t, n in want}
+
+
+def test_slices_of_a_batch_give_every_row(spark):
+    from pyspark.sql.types import ArrayType, StringType
+
+    from lexiforge.functions.text import SLICE_ROWS, by_slices
+
+    rows = [(k, None if k % 7 == 0 else f"t{k}") for k in range(3 * SLICE_ROWS + 1)]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    found = df.select("id", by_slices(lambda t: [t or "", "x"] if t else [], ArrayType(StringType()))(F.col("text")).alias("x"))
+    assert {r["id"]: r["x"] for r in found.collect()} == {k: [t, "x"] if t else [] for k, t in rows}
+    assert "ArrowEvalPython" in chunking.smart_split(df.withColumnRenamed("id", "doc_id"))._jdf.queryExecution().executedPlan().toString() and found.limit(0).count() == 0
